@@ -36,15 +36,28 @@ _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:], _SHAPE[48:58] = ord("A"), ord("a"), ord("a"), ord("0")
 
 
+#: Features of a word that repeats the last one, and of one that the text has had before.
+_AGAIN, _BEFORE = U(0x1234567) << U(36), U(0x89ABCDE) << U(36)
+#: Bytes of the word beginnings that are features beside whole words, for languages that inflect.
+STEMS = (4, 6)
+
+
 def tokens(buf: np.ndarray, off: np.ndarray, shapes: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of each token: lower-cased words, and if asked the shapes of what stands between white space.
+    """(row, feature) of each token: lower-cased words and their stems, or else words, their repeats, and shapes of what stands between white space.
 
     A shape has one mark for a run of bytes of one class: ``Abc-12`` has ``Aa-0``.
     """
     low = _LOWER[buf]
     s, e = bx.runs(_WORD[low], off)
     row, h = np.searchsorted(off, s, "right") - 1, bx.run_hashes(low, s, e)
+    if not shapes:
+        stems = [(row[e - s > k], bx.mixed(bx.run_hashes(low, s[e - s > k], s[e - s > k] + k) + U(k))) for k in STEMS]
+        row, h = (np.concatenate([x, *(y[i] for y in stems)]) for i, x in enumerate((row, h)))
     if shapes and len(buf):
+        again = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1])) + 1
+        by_word = np.lexsort((h, row))
+        before = by_word[1:][(h[by_word[1:]] == h[by_word[:-1]]) & (row[by_word[1:]] == row[by_word[:-1]])]
+        row, h = np.concatenate([row, row[again], row[before]]), np.concatenate([h, np.full(len(again), _AGAIN), np.full(len(before), _BEFORE)])
         kind = _SHAPE[buf]
         keep = np.append(True, kind[1:] != kind[:-1])
         inner = off[:-1][off[:-1] < len(buf)]
@@ -151,7 +164,7 @@ def fit_weights(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarr
     return w, t
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], shapes: bool, shares: bool, l1: float = 1e-4, steps: int = 250) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], shapes: bool, shares: bool, l1: float = 1e-3, steps: int = 300) -> Model:
     """A model from (grade, features, values) of rated documents; without two grades it has no weights."""
     dims = 1 << DIMS_LOG2
     grades = np.unique([r[0] for r in rows]).astype(float) if rows else np.zeros(1)
@@ -166,18 +179,20 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], shapes: bool, shares: bo
     row, value, used, col = row[keep], value[keep].astype(float), used[common], (np.cumsum(common) - 1)[col[keep]]
     if not len(used):
         used, col = np.zeros(1, np.int64), col
-    unit = 1.0 if shares else np.sqrt(max(1.0, len(row) / len(rows)))
-    w, t = fit_weights(row, col, value / unit, y, len(used), len(grades), l1 if shares else 4 * l1, 0.0, steps)
+    # Frequent features are scaled down, so that rare telling ones need no larger weights or more steps.
+    scale = 1 / np.sqrt(np.bincount(col, value**2, len(used)) / len(rows) + (1e-4 if shares else 1e-2))
+    value = value * scale[col]
+    w, t = fit_weights(row, col, value, y, len(used), len(grades), l1, 0.0, steps)
     on = np.flatnonzero(w)
     if len(on):
         at = np.full(len(used), -1)
         at[on] = np.arange(len(on))
         keep = at[col] >= 0
-        w2, t = fit_weights(row[keep], at[col[keep]], value[keep] / unit, y, len(on), len(grades), 0.0, l1 / 10, steps, (w[on], t))
+        w2, t = fit_weights(row[keep], at[col[keep]], value[keep], y, len(on), len(grades), 0.0, l1 / 10, steps, (w[on], t))
         w = np.zeros(len(used))
         w[on] = w2
     weights = np.zeros(dims)
-    weights[used] = w / unit
+    weights[used] = w * scale
     return Model(weights, np.cumsum(np.append(t[:1], np.exp(t[1:]))), grades, shapes, shares)
 
 
