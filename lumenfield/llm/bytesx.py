@@ -43,7 +43,7 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(buf: np.ndarray, off: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(buf: np.ndarray, off: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, bytes, offsets) for runs of whole texts of about size bytes; a longer text stands alone."""
     i, n = 0, len(off) - 1
     while i < n:

@@ -33,6 +33,8 @@ U = np.uint64
 BITS = 40
 #: Kinds of packed rows.
 TEXT, SHARED, WINDOW, GONE = 0, 1, 2, 3
+#: Windows that a task merges and sends at once.
+WINDOWS = 1 << 16
 #: Texts sampled at most for the splitters, which decide about balance only.
 SPLITTER_TEXTS = 1000
 
@@ -211,7 +213,7 @@ def _window_rows(n: int, span: int, gram: int, splitters: np.ndarray):
         ids, size, buf = text["d"], text["n"], text["t"]
         known, code = np.unique(shared["d"], return_inverse=True)
         wanted = np.unique((code.astype(np.uint64) << U(BITS)) | shared["f"].astype(np.uint64))
-        found = []
+        found, held = [], 0
         for first, part, off in bx.chunks(buf, np.append(0, np.cumsum(size))):
             h, least = minima(part, off, span, gram)
             start, count = segments(least, off, most)
@@ -233,17 +235,25 @@ def _window_rows(n: int, span: int, gram: int, splitters: np.ndarray):
             body = windows_of(part, start, wide)
             body[np.arange(wide)[None, :] >= (count + span - 1)[:, None]] = 0
             found.append((doc, start - off[row], count, lead, body))
-        if not found:
-            return
+            held += len(start)
+            if held >= WINDOWS:
+                yield from c.packed_rows(send(bucket, found))
+                found, held = [], 0
+        if found:
+            yield from c.packed_rows(send(bucket, found))
+
+    def send(bucket: int, found: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
+        """Each distinct window of the least document that has it here; in others it goes."""
         doc, start, count, lead, body = (np.concatenate(x) for x in zip(*found, strict=True))
         cls, best = merged(body, count * 64 + lead, doc)
         later = doc > doc[best][cls]
-        if later.any():  # the same window stands in a smaller document of this bucket
-            yield from c.packed_rows([(bucket, GONE, c.pack(d=doc[later], s=start[later].astype(np.int32), m=(U(1) << count[later].astype(np.uint64)) - U(1)))])
+        if later.any():
+            yield bucket, GONE, c.pack(d=doc[later], s=start[later].astype(np.int32), m=(U(1) << count[later].astype(np.uint64)) - U(1))
         doc, start, count, lead, body = doc[~later], start[~later], count[~later], lead[~later], body[~later]
         grams = np.ascontiguousarray(np.take_along_axis(body, lead[:, None] + np.arange(gram)[None, :], 1)).view(f"S{gram}")[:, 0]
         used = np.arange(wide)[None, :] < (count + span - 1)[:, None]
-        yield from c.packed_rows((b, WINDOW, c.pack(d=doc[i], s=start[i].astype(np.int32), c=count[i].astype(np.uint8), l=lead[i].astype(np.uint8), b=body[i][used[i]])) for b, i in c.split_by(np.searchsorted(splitters, grams, "right"), len(splitters) + 1))
+        for b, i in c.split_by(np.searchsorted(splitters, grams, "right"), len(splitters) + 1):
+            yield b, WINDOW, c.pack(d=doc[i], s=start[i].astype(np.int32), c=count[i].astype(np.uint8), l=lead[i].astype(np.uint8), b=body[i][used[i]])
 
     return c.by_bucket(one)
 
@@ -322,30 +332,33 @@ def _final_rows(span: int):
             return
         ids, size, buf = text["d"], text["n"], text["t"]
         order = np.argsort(ids, kind="stable")
-        off = np.append(0, np.cumsum(size))
-        cover = np.zeros(len(buf) + 1, np.int32)
+        row = at = bits = np.zeros(0, np.int64)
         if gone:
             left, right = (np.searchsorted(ids[order], gone["d"], side) for side in ("left", "right"))
             which = np.repeat(np.arange(len(left)), right - left)  # rows of equal doc_id each lose it
             nth = np.arange(len(which)) - np.repeat(np.cumsum(right - left) - (right - left), right - left)
-            row = order[left[which] + nth]
-            at, bits = off[row] + gone["s"][which], gone["m"][which]
-            fits = gone["s"][which] + span <= size[row]
-            for b in range(32):
-                on = ((bits >> U(b)) & U(1) > 0) & fits
-                np.add.at(cover, at[on] + b, 1)
-                np.add.at(cover, at[on] + b + span, -1)
-        removed = np.cumsum(cover[:-1]) > 0
-        total = np.append(0, np.cumsum(removed))
-        rise = removed.copy()
-        rise[1:] &= ~removed[:-1]
-        inner = off[:-1][off[:-1] < len(buf)]
-        rise[inner] = removed[inner]
-        spans = np.append(0, np.cumsum(rise))
-        kept, koff = buf[~removed].tobytes(), off - total[off]
-        for i in range(0, len(ids), 500):
-            j = min(i + 500, len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(size[i:j]), pa.array(np.diff(total[off[i : j + 1]])), pa.array(np.diff(spans[off[i : j + 1]])), pa.array([kept[koff[k] : koff[k + 1]] for k in range(i, j)], pa.binary())], schema=_RESULT)
+            row, at, bits = order[left[which] + nth], gone["s"][which], gone["m"][which]
+            fits = np.flatnonzero(at + span <= size[row])
+            fits = fits[np.argsort(row[fits], kind="stable")]
+            row, at, bits = row[fits], at[fits], bits[fits]
+        for first, part, off in bx.chunks(buf, np.append(0, np.cumsum(size))):
+            n = len(off) - 1
+            i, j = np.searchsorted(row, (first, first + n))
+            spot, mask = off[row[i:j] - first] + at[i:j], bits[i:j]
+            cover = np.zeros(len(part) + 1, np.int32)
+            for b in range(32 if j > i else 0):
+                on = spot[(mask >> U(b)) & U(1) > 0] + b
+                np.add.at(cover, on, 1)
+                np.add.at(cover, on + span, -1)
+            removed = np.cumsum(cover[:-1], dtype=np.int32) > 0
+            total = np.append(0, np.cumsum(removed))
+            rise = removed.copy()
+            rise[1:] &= ~removed[:-1]
+            inner = off[:-1][off[:-1] < len(part)]
+            rise[inner] = removed[inner]
+            spans = np.append(0, np.cumsum(rise))
+            kept, koff = part[~removed].tobytes(), off - total[off]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + n]), pa.array(np.diff(off)), pa.array(np.diff(total[off])), pa.array(np.diff(spans[off])), pa.array([kept[koff[k] : koff[k + 1]] for k in range(n)], pa.binary())], schema=_RESULT)
 
     return c.by_bucket(one)
 
