@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenfield.session import ship
+
 #: Schema of a packed exchange.
 PACKED = "bucket int, kind int, payload binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -32,7 +34,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of few rows, as one text may be long."""
+    """Arrow batches of few rows, as one text may be long; and the package where they are handled."""
+    ship(spark)
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -79,6 +79,11 @@ def segments(least: np.ndarray, off: np.ndarray, most: int) -> tuple[np.ndarray,
     return start, size
 
 
+def meeting(least: np.ndarray) -> np.ndarray:
+    """The number under which anchors meet. Least hashes are small ones, so they are mixed again to spread evenly."""
+    return bx.mixed(least) >> U(64 - BITS)
+
+
 def _anchor_rows(n: int, span: int, gram: int, flush: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -89,7 +94,7 @@ def _anchor_rows(n: int, span: int, gram: int, flush: int = 1 << 20):
                     _, least = minima(buf, off, span, gram)
                     start, _ = segments(least, off, 1 << 40)
                     doc = ids[first + np.searchsorted(off, start, "right") - 1]
-                    held.append((least[start] >> U(64 - BITS), doc))
+                    held.append((meeting(least[start]), doc))
                     count += len(start)
                     if count >= flush:
                         yield from send(held)
@@ -220,7 +225,7 @@ def _window_rows(n: int, span: int, gram: int, splitters: np.ndarray):
             row = np.searchsorted(off, start, "right") - 1
             doc = ids[first + row]
             at = np.minimum(np.searchsorted(known, doc), len(known) - 1)
-            key = (at.astype(np.uint64) << U(BITS)) | (least[start] >> U(64 - BITS))
+            key = (at.astype(np.uint64) << U(BITS)) | meeting(least[start])
             hit = (known[at] == doc) & (wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
             start, count, doc, row = start[hit], count[hit], doc[hit], row[hit]
             if not len(start):
