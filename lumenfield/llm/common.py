@@ -8,6 +8,8 @@ its tasks and nothing else.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import itertools
 import tempfile
@@ -33,7 +35,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows, as one text may be long; and the package where they are handled."""
     ship(spark)
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
@@ -112,10 +114,18 @@ def by_bucket(f: Callable[[int, list[tuple[int, bytes]]], Iterable]) -> Callable
         rows = ((b, k, p) for x in batches for b, k, p in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True))
         for bucket, group in itertools.groupby(rows, key=lambda r: r[0]):
             yield from f(bucket, [(k, p) for _, k, p in group])
+            release()
 
     return run
 
 
+def release() -> None:
+    """Give freed memory back to the system, which else stays with a worker that lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unpack_all(items: list[tuple[int, bytes]], kind: int) -> dict[str, np.ndarray]:
     """The arrays of one kind, put together; {} if there are none."""
     parts = [unpack(p) for k, p in items if k == kind]

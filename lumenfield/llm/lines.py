@@ -10,20 +10,17 @@ places whose intervals have earlier members. In each interval the earliest (doc_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from lumenfield.llm import bytesx as bx
 from lumenfield.llm import common as c
 
 MIN_LINES = 2
-#: A second seed makes names 128 bits long, so that different lines have different ones.
-_SEED = 77
-
-
-def _names() -> Column:
-    """Array of {a, b, blank}: each line's own name."""
-    return F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(_SEED), x).alias("b"), (F.trim(x) == "").alias("blank")))
-
-
 def _doubled(min_lines: int) -> list[int]:
     """Steps between the two places whose names are put together: 1, 2, 4, ..., and what is left."""
     h, steps = 1, []
@@ -34,12 +31,36 @@ def _doubled(min_lines: int) -> list[int]:
     return steps
 
 
+def _places(min_lines: int):
+    """Rows of the names of all places that have min_lines lines, not all blank; a name is 128 bits long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, texts = batch.column(0).to_pylist(), [t.split("\n") for t in batch.column(1).to_pylist()]
+            name = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode()) for t in texts for x in t]), np.uint64).reshape(-1, 2)
+            blank = np.array([not x.strip(" ") for t in texts for x in t], bool)
+            size = np.array([len(t) for t in texts], np.int64)
+            doc = np.repeat(np.array(docs, np.int64), size)
+            left = np.repeat(np.cumsum(size), size) - np.arange(len(doc))  # lines from here to the text's end
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+            have = 1
+            for step in _doubled(min_lines):
+                ok = np.flatnonzero(left >= have + step)
+                two = np.zeros_like(name)
+                two[ok] = bx.mixed(name[ok] * np.uint64(0x9E3779B97F4A7C15) + bx.mixed(name[ok + step] + np.uint64(step)))
+                both = blank.copy()
+                both[ok] &= blank[ok + step]
+                name, blank, have = two, both, have + step
+            keep = np.flatnonzero((left >= min_lines) & ~blank)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(at[keep].astype(np.int32)), pa.array(name[keep, 0].view(np.int64)), pa.array(name[keep, 1].view(np.int64))], names=["doc_id", "at", "a", "b"])
+
+    return run
+
+
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """doc_id and at: places of line runs of min_lines that have an earlier copy, in order of (doc_id, line)."""
-    named = docs.select("doc_id", _names().alias("w"))
-    for step in _doubled(min_lines):
-        named = named.select("doc_id", F.expr(f"case when size(w) > {step} then transform(sequence(0, size(w) - 1 - {step}), i -> struct(xxhash64(w[i].a, w[i + {step}].a) as a, xxhash64({_SEED}, w[i].b, w[i + {step}].b) as b, w[i].blank and w[i + {step}].blank as blank)) else array() end").alias("w"))
-    places = named.select("doc_id", F.posexplode("w").alias("at", "x")).where("not x.blank").select("doc_id", F.col("at").cast("int").alias("at"), "x.a", "x.b")
+    c.small_batches(docs.sparkSession)
+    places = docs.select("doc_id", "text").mapInArrow(_places(min_lines), "doc_id long, at int, a long, b long")
     places = c.stored(places)
     interval = places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
     return places.join(interval, ["a", "b"]).where("struct(doc_id, at) > first").select("doc_id", "at")

@@ -8,6 +8,8 @@ left; it is used as often as its lengths last, and removed. Pieces are then numb
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,37 +21,107 @@ from lumenfield.llm import common as c
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0
-SALTS = 64
+SALTS = 16
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
-#: Words held with their ids by a worker at once, and characters of the longest one held.
+#: Words, and parts of words, in each generation of what a worker remembers; bytes of the longest one it remembers.
 HELD, LONG = 200_000, 48
+#: Parts encoded at once.
+JOINED = 500
+_PART = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^0-9a-z\x80-\xff]+")
+
+
+def _plain(word: str) -> bool:
+    """Whether all beyond ASCII are composed letters, in upper and in lower case."""
+    low = word.lower()
+    return len(low) == len(word) and unicodedata.is_normalized("NFC", word) and all(x.isalpha() for x in word + low if x > "\x7f")
+
+
+class Memory:
+    """A bounded dict: when the young generation is full it becomes the old one, and what is used moves up again."""
+
+    def __init__(self) -> None:
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """Those not held; those in the old generation become young."""
+        if len(self.young) > HELD:
+            self.young, self.old = {}, self.young
+        out = []
+        for k in keys.difference(self.young):
+            if (v := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self.young[k] = v
+        return out
 
 
 class Words:
-    """Token ids by word, cut at ASCII white space: the tokenizer drops it and never joins across it."""
+    """Token ids by word, cut at ASCII white space: the tokenizer drops it and never joins across it.
+
+    Words are lower-cased first, as the tokenizer does. A plain word, of composed letters, digits and ASCII
+    marks without an apostrophe, is cut into parts that are each one unit of the tokenizer's own pattern. New
+    parts are encoded many at once, with spaces between, and told apart by the ids that end a unit. All
+    other words are encoded by themselves, and a text that is not in the normal form NFC is as a whole.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words, self.parts = Memory(), Memory()
+
+    def alone(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def together(self, parts: list[bytes]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(b" ".join(parts).decode(), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(parts):
+            return self.alone(parts)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not held; the longest of them are returned, the others held."""
+        cut, odd = {}, []
+        for w in words:
+            if b"'" in w or b"<|" in w or not (w.isascii() or _plain(w.decode())):
+                odd.append(w)
+            else:
+                cut[w] = _PART.findall(w)
+        wanted = {p for ps in cut.values() for p in ps}
+        new = self.parts.missing(wanted)
+        young = self.parts.young
+        for i in range(0, len(new), JOINED):
+            young.update(zip(new[i : i + JOINED], self.together(new[i : i + JOINED]), strict=True))
+        long, held = {}, self.words.young
+        for w, ps in cut.items():
+            (held if len(w) <= LONG else long)[w] = b"".join([young[p] for p in ps])
+        for p in [p for p in new if len(p) > LONG]:
+            del young[p]
+        for w, ids in zip(odd, self.alone(odd), strict=True):
+            (held if len(w) <= LONG else long)[w] = ids
+        return long
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.encode().split() for t in texts]
-        if len(self.known) > HELD:
-            self.known = {}
-        known = self.known
-        missing = list({w for ws in words for w in ws if w not in known})
-        extra = {}
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                (known if len(w) <= LONG else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in ws]) for ws in words]
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        whole = {i: t for i, t in enumerate(texts) if not (t.isascii() or unicodedata.is_normalized("NFC", t))}
+        raw = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
+        # A special token is told by its letters' case, so a word that may have one keeps it.
+        words = [[w if b"<|" in w else w.lower() for w in x.split()] if b"<|" in x else x.lower().split() for x in raw]
+        long = self.learn(self.words.missing(set().union(*words)))
+        known = self.words.young
+        if long:
+            known = known | long
+        out = [b"".join([known[w] for w in ws]) for ws in words]
+        for i, ids in zip(whole, self.alone([t.encode() for t in whole.values()]), strict=True):
+            out[i] = ids
+        return out
 
 
 _words: dict[str, Words] = {}

@@ -84,7 +84,7 @@ def meeting(least: np.ndarray) -> np.ndarray:
     return bx.mixed(least) >> U(64 - BITS)
 
 
-def _anchor_rows(n: int, span: int, gram: int, flush: int = 1 << 20):
+def _anchor_rows(n: int, span: int, gram: int, flush: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             held, count = [], 0
@@ -141,7 +141,7 @@ def _shared_rows(n: int):
     return c.by_bucket(one)
 
 
-def _text_rows(n: int, flush: int = 1 << 24):
+def _text_rows(n: int, flush: int = 1 << 23):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(held):
             ids = np.concatenate([x[0] for x in held])
