@@ -61,7 +61,6 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """doc_id and at: places of line runs of min_lines that have an earlier copy, in order of (doc_id, line)."""
     c.small_batches(docs.sparkSession)
     places = docs.select("doc_id", "text").mapInArrow(_places(min_lines), "doc_id long, at int, a long, b long")
-    places = c.stored(places)
     interval = places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
     return places.join(interval, ["a", "b"]).where("struct(doc_id, at) > first").select("doc_id", "at")
 

@@ -8,6 +8,7 @@ left; it is used as often as its lengths last, and removed. Pieces are then numb
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,14 +26,18 @@ SALTS = 16
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 #: Words, and parts of words, in each generation of what a worker remembers; bytes of the longest one it remembers.
-HELD, LONG = 200_000, 48
+HELD, LONG = 400_000, 48
 #: Parts encoded at once.
 JOINED = 500
 _PART = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^0-9a-z\x80-\xff]+")
+#: Letters of Latin-1, which are composed and lower-cased one to one.
+_LATIN = re.compile("[\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 
 
 def _plain(word: str) -> bool:
     """Whether all beyond ASCII are composed letters, in upper and in lower case."""
+    if _LATIN.fullmatch(word):
+        return True
     low = word.lower()
     return len(low) == len(word) and unicodedata.is_normalized("NFC", word) and all(x.isalpha() for x in word + low if x > "\x7f")
 
@@ -79,7 +84,7 @@ class Words:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
     def together(self, parts: list[bytes]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(b" ".join(parts).decode(), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(parts).decode()], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(parts):
             return self.alone(parts)
@@ -90,7 +95,9 @@ class Words:
         """Ids of words that are not held; the longest of them are returned, the others held."""
         cut, odd = {}, []
         for w in words:
-            if b"'" in w or b"<|" in w or not (w.isascii() or _plain(w.decode())):
+            if w.isalpha():  # ASCII letters only
+                cut[w] = (w,)
+            elif b"'" in w or b"<|" in w or not (w.isascii() or _plain(w.decode())):
                 odd.append(w)
             else:
                 cut[w] = _PART.findall(w)
@@ -114,11 +121,12 @@ class Words:
         raw = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
         # A special token is told by its letters' case, so a word that may have one keeps it.
         words = [[w if b"<|" in w else w.lower() for w in x.split()] if b"<|" in x else x.lower().split() for x in raw]
-        long = self.learn(self.words.missing(set().union(*words)))
+        long = self.learn(self.words.missing(set(itertools.chain.from_iterable(words))))
         known = self.words.young
-        if long:
-            known = known | long
-        out = [b"".join([known[w] for w in ws]) for ws in words]
+        known.update(long)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w in long:
+            del known[w]
         for i, ids in zip(whole, self.alone([t.encode() for t in whole.values()]), strict=True):
             out[i] = ids
         return out
