@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lumenfield.llm import bytesx as bx
 from lumenfield.llm import common as c
 
 CAPACITY = 2048
@@ -27,6 +28,10 @@ PIECE = "doc_id long, piece int, start long, length long, ids binary"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 #: Words, and parts of words, in each generation of what a worker remembers; bytes of the longest one it remembers.
 HELD, LONG = 400_000, 48
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Texts encoded at once.
+TEXTS = 512
 #: Parts encoded at once.
 JOINED = 500
 _PART = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^0-9a-z\x80-\xff]+")
@@ -68,7 +73,7 @@ class Words:
     Words are lower-cased first, as the tokenizer does. A plain word, of composed letters, digits and ASCII
     marks without an apostrophe, is cut into parts that are each one unit of the tokenizer's own pattern. New
     parts are encoded many at once, with spaces between, and told apart by the ids that end a unit. All
-    other words are encoded by themselves, and a text that is not in the normal form NFC is as a whole.
+    other words are encoded by themselves.
     """
 
     def __init__(self, path: str) -> None:
@@ -97,7 +102,7 @@ class Words:
         for w in words:
             if w.isalpha():  # ASCII letters only
                 cut[w] = (w,)
-            elif b"'" in w or b"<|" in w or not (w.isascii() or _plain(w.decode())):
+            elif b"'" in w or not (w.isascii() or _plain(w.decode())):
                 odd.append(w)
             else:
                 cut[w] = _PART.findall(w)
@@ -115,22 +120,74 @@ class Words:
             (held if len(w) <= LONG else long)[w] = ids
         return long
 
+    def units(self, units: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs of one kind, each a unit of the pattern, or words with an apostrophe; the longest are returned, the others held."""
+        new = self.words.missing(set(units))
+        long, held = {}, self.words.young
+        odd = [u for u in new if b"'" in u]
+        if odd:
+            new = [u for u in new if b"'" not in u]
+        for some, encode in [(new[i : i + JOINED], self.together) for i in range(0, len(new), JOINED)] + [(odd, self.alone)] * bool(odd):
+            for u, ids in zip(some, encode(some), strict=True):
+                (held if len(u) <= LONG else long)[u] = ids
+        return long
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        whole = {i: t for i, t in enumerate(texts) if not (t.isascii() or unicodedata.is_normalized("NFC", t))}
-        raw = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
-        # A special token is told by its letters' case, so a word that may have one keeps it.
-        words = [[w if b"<|" in w else w.lower() for w in x.split()] if b"<|" in x else x.lower().split() for x in raw]
-        long = self.learn(self.words.missing(set(itertools.chain.from_iterable(words))))
-        known = self.words.young
-        known.update(long)
-        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
-        for w in long:
-            del known[w]
-        for i, ids in zip(whole, self.alone([t.encode() for t in whole.values()]), strict=True):
+        whole, fine, coarse = [], [], []
+        for i, t in enumerate(texts):
+            # What a special token may be in, or is not in the normal form NFC, is encoded as a whole.
+            latin = t.isascii() or _LATIN.fullmatch(t)
+            (whole if "<|" in t or not (latin or unicodedata.is_normalized("NFC", t)) else fine if latin else coarse).append(i)
+        out = [b""] * len(texts)
+        for i, ids in zip(whole, self.alone([texts[i].encode() for i in whole]), strict=True):
             out[i] = ids
+        for group, cut, learn in ((fine, _kinds, self.units), (coarse, lambda part: ~_SPACE[part] * np.uint8(1), lambda words: self.learn(self.words.missing(set(words))))):
+            for i, ids in zip(group, self.looked_up([texts[i].encode().lower() for i in group], cut, learn), strict=True):
+                out[i] = ids
         return out
 
+    def looked_up(self, raw: list[bytes], cut, learn) -> Iterator[bytes]:
+        """Ids of each text by its runs of one kind, 0 being white space. Hashes tell runs apart, so each distinct one is looked up once."""
+        off = np.append(0, np.cumsum([len(x) + 1 for x in raw]))
+        buf = b"\n".join(raw) + b"\n"
+        for first, part, poff in bx.chunks(np.frombuffer(buf, np.uint8) if raw else np.zeros(0, np.uint8), off, 1 << 20):
+            kind = cut(part)
+            edge = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+            starts = np.flatnonzero(edge & (kind > 0))
+            bounds = np.append(np.flatnonzero(edge), len(part))
+            ends = bounds[np.searchsorted(bounds, starts) + 1] if len(starts) else starts
+            _, one, code = np.unique(bx.run_hashes(part, starts, ends), return_index=True, return_inverse=True)
+            at = int(off[first])
+            words = [buf[a:b] for a, b in zip((starts[one] + at).tolist(), (ends[one] + at).tolist(), strict=True)]
+            long, held = learn(words), self.words.young
+            each = [long[w] if w in long else held[w] for w in words] if long else list(map(held.__getitem__, words))
+            size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+            begin = np.cumsum(size) - size
+            total = np.cumsum(size[code])
+            ids = np.frombuffer(b"".join(each), "<u4")[np.repeat(begin[code] - total + size[code], size[code]) + np.arange(total[-1] if len(total) else 0)].tobytes()
+            at = 4 * np.append(0, total)[np.searchsorted(starts, poff)]
+            for k in range(len(poff) - 1):
+                yield ids[at[k] : at[k + 1]]
+
+
+#: Kinds of bytes: white space, letters, digits (each stands alone), marks, and words with an apostrophe.
+LETTER, DIGIT, MARK, QUOTED = 1, 2, 3, 4
+_KIND = np.full(256, MARK, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[48:58] = DIGIT
+_KIND[97:123] = _KIND[65:91] = _KIND[128:] = LETTER
+
+
+def _kinds(part: np.ndarray) -> np.ndarray:
+    kind = _KIND[part]
+    if (quotes := np.flatnonzero(part == 39)).size:
+        edge = np.flatnonzero(np.append(True, (kind[1:] == 0) != (kind[:-1] == 0)))
+        left = np.searchsorted(edge, quotes, "right") - 1
+        for a, b in {(int(edge[k]), int(edge[k + 1]) if k + 1 < len(edge) else len(part)) for k in left}:
+            kind[a:b] = QUOTED
+    return kind
+
 
 _words: dict[str, Words] = {}
 
@@ -142,9 +199,9 @@ def _pieces(path: str, capacity: int, end: int):
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 200):
+            for i in range(0, len(texts), TEXTS):
                 out = ([], [], [], [], [])
-                for doc, ids in zip(docs[i : i + 200], words.ids(texts[i : i + 200]), strict=True):
+                for doc, ids in zip(docs[i : i + TEXTS], words.ids(texts[i : i + TEXTS]), strict=True):
                     ids += last
                     for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                         part = ids[4 * at : 4 * (at + capacity)]
@@ -168,7 +225,7 @@ def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     counts as empty, so it is one piece of that id alone. Only texts with more ids than capacity are cut.
     Repeated rows are pieces of their own; an empty table has no pieces. ``path`` is a tokenizers file.
     """
-    c.small_batches(docs.sparkSession)
+    c.small_batches(docs.sparkSession, TEXTS)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(path or tokenizer_path(), capacity, end), PIECE)
 
 
