@@ -28,8 +28,8 @@ def ply(points: DataFrame, triangles: DataFrame, x: str, y: str, z: str) -> Data
     head = ["ply", "format ascii 1.0", f"element vertex {n}", "property double x", "property double y", "property double z", f"element face {m}", "property list uchar int vertex_indices", "end_header"]
     spark = points.sparkSession
     first = spark.createDataFrame([(i - len(head), v) for i, v in enumerate(head)], "k long, value string")
-    ids = points.select("line", "sample", x, y, z).orderBy("line", "sample").rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(["line", "sample", x, y, z, "k"])
-    rows = ids.select("k", F.concat_ws(" ", x, y, z).alias("value"))
+    ids = points.select("line", "sample", F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z")).orderBy("line", "sample").rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(["line", "sample", "x", "y", "z", "k"])
+    rows = ids.select("k", F.concat_ws(" ", "x", "y", "z").alias("value"))
     corners = triangles.withColumn("f", F.monotonically_increasing_id()).select("f", F.posexplode("face").alias("j", "c")).select("f", "j", "c.line", "c.sample")
     told = corners.join(ids.select("line", "sample", F.col("k").alias("v")), ["line", "sample"]).groupBy("f").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda s: s["v"].cast("string"))).alias("t"))
     return first.unionAll(rows).unionAll(told.select((F.lit(n) + F.col("f")).alias("k"), F.concat(F.lit("3 "), "t").alias("value")))

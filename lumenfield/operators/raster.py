@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def stencil(grid: DataFrame, height: int, width: int, value: str = "h") -> DataFrame:
-    """line, sample and a..i: the 3 x 3 values around, row by row; beyond an edge the edge repeats.
+    """line, sample and a..i: the 3 x 3 values around each pixel, row by row; beyond an edge the edge repeats.
 
     Each pixel sends its value to where it is needed, so one aggregation by place replaces eight self-joins.
     """
@@ -17,7 +17,7 @@ def stencil(grid: DataFrame, height: int, width: int, value: str = "h") -> DataF
     place = lambda dy, dx: (F.col("line") == F.greatest(F.lit(0), F.least(F.lit(height - 1), F.col("to_line") + dy))) & (F.col("sample") == F.greatest(F.lit(0), F.least(F.lit(width - 1), F.col("to_sample") + dx)))
     names = iter("abcdefghi")
     aggs = [F.max(F.when(place(dy, dx), F.col(value))).alias(next(names)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    return sent.groupBy("to_line", "to_sample").agg(*aggs).withColumnsRenamed({"to_line": "line", "to_sample": "sample"})
+    return sent.groupBy("to_line", "to_sample").agg(*aggs).where("e is not null").withColumnsRenamed({"to_line": "line", "to_sample": "sample"})
 
 
 def horn(grid: DataFrame, height: int, width: int, cell: float) -> DataFrame:

@@ -4,28 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lumenfield.session import checkpointed
 
-def nearest(points: DataFrame, samples: DataFrame, cell: float, rounds: int = 12) -> DataFrame:
+
+def nearest(points: DataFrame, samples: DataFrame, cell: float) -> DataFrame:
     """pid, sid, d2: the exact nearest sample of each point, of least sid where distances tie.
 
     Points need pid, px, py; samples sid, sx, sy. Points look into the 3 x 3 cells around their own; a best
-    one within a cell's width can't be beaten from beyond. The few others look again with cells twice as wide.
+    one within a cell's width can't be beaten from beyond. The few others look again with cells twice as wide,
+    until none is left; a round's rows are checkpointed. Without samples no point has one.
     """
-    left, out = points.select("pid", "px", "py"), None
-    for k in range(rounds):
-        size = cell * 2**k
+    left, out, size = points.select("pid", "px", "py").where("pid is not null and px is not null and py is not null"), None, cell
+    if samples.isEmpty():
+        return left.select("pid", F.lit(None).cast("long").alias("sid"), F.lit(0.0).alias("d2")).where("false")
+    while True:
         at = lambda c, size=size: F.floor(F.col(c) / size).cast("long")
         around = left.select("*", F.explode(F.expr("sequence(-1, 1)")).alias("a")).withColumn("b", F.explode(F.expr("sequence(-1, 1)")))
         around = around.withColumns({"cx": at("px") + F.col("a"), "cy": at("py") + F.col("b")})
         both = around.join(samples.select("sid", "sx", "sy", at("sx").alias("cx"), at("sy").alias("cy")), ["cx", "cy"])
         d2 = (F.col("px") - F.col("sx")) ** 2 + (F.col("py") - F.col("sy")) ** 2
         best = both.groupBy("pid").agg(F.min(F.struct(d2.alias("d2"), "sid")).alias("best")).select("pid", "best.sid", "best.d2")
-        done = best.where(F.col("d2") <= size * size) if k + 1 < rounds else best
+        done = checkpointed(best.where(F.col("d2") <= size * size))
         out = done if out is None else out.unionAll(done)
-        left = left.join(done, "pid", "left_anti")
+        left = checkpointed(left.join(done, "pid", "left_anti"))
         if left.isEmpty():
-            break
-    return out
+            return out
+        size *= 2
 
 
 def in_chunks(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:

@@ -232,10 +232,10 @@ from grid t join grid g on abs(g.line - t.line) <= 1 and abs(g.sample - t.sample
 z as (select line, sample, ((c + 2 * f + i) - (a + 2 * d + g)) / 160 as dzdx, ((g + 2 * h + i) - (a + 2 * b + c)) / 160 as dzdy from s)"""
 
 
-@query(f"with {GRID}, {_ROWS} select line, sample, round(dzdx, 5) as dzdx, round(dzdy, 5) as dzdy, round(255 * greatest(0, cos(radians(45)) * cos(atan(sqrt(dzdx ** 2 + dzdy ** 2))) + sin(radians(45)) * sin(atan(sqrt(dzdx ** 2 + dzdy ** 2))) * cos(radians(135) - atan2(dzdy, -dzdx))), 3) as shade from z where dzdx is not null and dzdy is not null")
+@query(f"with {GRID}, {_ROWS} select line, sample, round(dzdx, 10) as dzdx, round(dzdy, 10) as dzdy, round(255 * greatest(0, cos(radians(45)) * cos(atan(sqrt(dzdx ** 2 + dzdy ** 2))) + sin(radians(45)) * sin(atan(sqrt(dzdx ** 2 + dzdy ** 2))) * cos(radians(135) - atan2(dzdy, -dzdx))), 3) as shade from z where dzdx is not null and dzdy is not null")
 def hillshade(spark, sf):
     s = raster.hillshade(raster.horn(grid(spark, sf), SIDE, SIDE, 20.0).where("dzdx is not null and dzdy is not null"), 135.0, 45.0)
-    return s.select("line", "sample", F.round("dzdx", 5).alias("dzdx"), F.round("dzdy", 5).alias("dzdy"), F.round("shade", 3).alias("shade"))
+    return s.select("line", "sample", F.round("dzdx", 10).alias("dzdx"), F.round("dzdy", 10).alias("dzdy"), F.round("shade", 3).alias("shade"))
 
 
 @query(f"with {GRID} select t.line, t.sample, max(g.h) as disc_max from grid t join grid g on (g.line - t.line) * (g.line - t.line) + (g.sample - t.sample) * (g.sample - t.sample) <= 4 and abs(g.line - t.line) <= 2 group by 1, 2")
