@@ -12,7 +12,6 @@ import contextlib
 import ctypes
 import io
 import itertools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfield.session import ship
+from lumenfield.session import checkpointed, shared_dir, ship  # noqa: F401
 
 #: Schema of a packed exchange.
 PACKED = "bucket int, kind int, payload binary"
@@ -42,19 +41,6 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenfield-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df as a zstd parquet table in the shared folder, which goes when the application ends."""
     spark = df.sparkSession

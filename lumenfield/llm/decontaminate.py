@@ -19,8 +19,8 @@ from lumenfield.llm import common as c
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
-#: Bytes of benchmark text for one automaton; a larger benchmark takes several passes of bounded size.
-AUTOMATON_BYTES = 16 << 20
+#: Bytes of benchmark text for one automaton, whose nodes are some dozen times that; a larger benchmark takes several passes.
+AUTOMATON_BYTES = 1 << 18
 #: A document is contaminated if at least this share of its words is hit.
 SHARE = (1, 20)
 

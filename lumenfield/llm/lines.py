@@ -77,17 +77,21 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     if min_lines < 1:
         raise ValueError("min_lines must be 1 at least")
     gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null"), min_lines)
-    gone = gone.distinct().groupBy("doc_id").agg(F.collect_list("at").alias("__at"))
-    cover = F.array_distinct(F.flatten(F.transform("__at", lambda i: F.sequence(i, i + (min_lines - 1))))) if min_lines > 1 else F.col("__at")
-    gone = gone.select(F.col("doc_id").alias("__id"), F.map_from_arrays(cover, F.array_repeat(F.lit(True), F.size(cover))).alias("__gone"))
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left").withColumn("__lines", F.split(F.col("text").cast("string"), "\n", -1))
-    kept = F.filter("__lines", lambda _, i: ~F.map_contains_key("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
-    n = F.when(F.col("__lines").isNull(), F.lit(0).cast("long")).otherwise(n)
-    cut = F.coalesce(F.size("__lines") - F.size(kept), F.lit(0)).cast("long")
-    out = out.withColumns({"n_lines": n, "n_removed": F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(cut)}).withColumn("text", text)
-    return out.drop("__id", "__gone", "__lines")
+    gone = gone.distinct().groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    cover = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + (min_lines - 1))))) if min_lines > 1 else F.col("at")
+    gone = gone.select("doc_id", F.map_from_arrays(cover, F.array_repeat(F.lit(True), F.size(cover))).alias("gone"))
+    # All columns of docs travel in one struct, so none of their names can clash with those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
+    out = rows.join(gone, "doc_id", "left")
+    kept = F.filter("lines", lambda _, i: ~F.map_contains_key("gone", i))
+    cut, none = F.col("gone").isNotNull(), F.lit(0).cast("long")
+    made = {
+        "text": F.when(cut, F.array_join(kept, "\n")).otherwise(F.col("row")["text"]),
+        "n_lines": F.when(F.col("lines").isNull(), none).otherwise(F.size("lines").cast("long")),
+        "n_removed": F.when(cut, (F.size("lines") - F.size(kept)).cast("long")).otherwise(none),
+    }
+    names = [x for x in docs.columns if x not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
+    return out.select(*[made.get(x, F.col("row")[x]).alias(x) for x in names])
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

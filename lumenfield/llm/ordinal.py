@@ -22,6 +22,8 @@ from lumenfield.llm import common as c
 U = np.uint64
 #: Rated rows used for a fit at most; those with the least hashes of doc_id.
 SAMPLE = 8192
+#: L1 penalties where values are shares, and where they are presence; the latter from held-out rows.
+L1_SHARES, L1_PRESENCE = 1e-3, 3e-3
 #: Hashed features.
 DIMS_LOG2 = 18
 
@@ -164,9 +166,10 @@ def fit_weights(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarr
     return w, t
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], shapes: bool, shares: bool, l1: float = 1e-3, steps: int = 300) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], shapes: bool, shares: bool, l1: float | None = None, steps: int = 300) -> Model:
     """A model from (grade, features, values) of rated documents; without two grades it has no weights."""
     dims = 1 << DIMS_LOG2
+    l1 = l1 or (L1_SHARES if shares else L1_PRESENCE)
     grades = np.unique([r[0] for r in rows]).astype(float) if rows else np.zeros(1)
     if len(grades) < 2:
         return Model(np.zeros(dims), np.zeros(0), grades, shapes, shares)
