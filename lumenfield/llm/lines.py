@@ -81,14 +81,15 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     cover = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + (min_lines - 1))))) if min_lines > 1 else F.col("at")
     gone = gone.select("doc_id", F.map_from_arrays(cover, F.array_repeat(F.lit(True), F.size(cover))).alias("gone"))
     # All columns of docs travel in one struct, so none of their names can clash with those used here.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     out = rows.join(gone, "doc_id", "left")
-    kept = F.filter("lines", lambda _, i: ~F.map_contains_key("gone", i))
+    lines = F.split(F.col("row")["text"].cast("string"), "\n", -1)  # after the join, which would else move texts twice
+    kept = F.filter(lines, lambda _, i: ~F.map_contains_key("gone", i))
     cut, none = F.col("gone").isNotNull(), F.lit(0).cast("long")
     made = {
         "text": F.when(cut, F.array_join(kept, "\n")).otherwise(F.col("row")["text"]),
-        "n_lines": F.when(F.col("lines").isNull(), none).otherwise(F.size("lines").cast("long")),
-        "n_removed": F.when(cut, (F.size("lines") - F.size(kept)).cast("long")).otherwise(none),
+        "n_lines": F.when(F.col("row")["text"].isNull(), none).otherwise(F.size(lines).cast("long")),
+        "n_removed": F.when(cut, (F.size(lines) - F.size(kept)).cast("long")).otherwise(none),
     }
     names = [x for x in docs.columns if x not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
     return out.select(*[made.get(x, F.col("row")[x]).alias(x) for x in names])
