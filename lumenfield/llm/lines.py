@@ -6,6 +6,7 @@ the names for h lines at two places; equal names are equal prefixes. Suffixes wi
 array, and have one name. The doubling stops at that length, as the intervals' copies, taken together,
 are the maximal repeated runs: a run of k lines that has an earlier copy is a chain of k - min_lines + 1
 places whose intervals have earlier members. In each interval the earliest (doc_id, line) stays.
+A long line is a passage by itself: one of ``min_words`` words is a run that counts at length 1.
 """
 
 from __future__ import annotations
@@ -21,6 +22,18 @@ from lumenfield.llm import bytesx as bx
 from lumenfield.llm import common as c
 
 MIN_LINES = 2
+#: Words of a line that counts alone.
+MIN_WORDS = 50
+
+
+def _long(line: str, min_words: int) -> bool:
+    """Whether a line has min_words words, cut at spaces."""
+    if len(line) < 2 * min_words - 1:
+        return False
+    parts = line.split(" ")
+    return len(parts) - parts.count("") >= min_words
+
+
 def _doubled(min_lines: int) -> list[int]:
     """Steps between the two places whose names are put together: 1, 2, 4, ..., and what is left."""
     h, steps = 1, []
@@ -31,8 +44,8 @@ def _doubled(min_lines: int) -> list[int]:
     return steps
 
 
-def _places(min_lines: int):
-    """Rows of the names of all places that have min_lines lines, not all blank; a name is 128 bits long."""
+def _places(min_lines: int, min_words: int):
+    """Rows of the names of all places that have min_lines lines, not all blank, and of long lines; a name is 128 bits long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,6 +56,8 @@ def _places(min_lines: int):
             doc = np.repeat(np.array(docs, np.int64), size)
             left = np.repeat(np.cumsum(size), size) - np.arange(len(doc))  # lines from here to the text's end
             at = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+            alone = np.flatnonzero([_long(x, min_words) for t in texts for x in t]) if min_lines > 1 else np.zeros(0, np.int64)
+            line = name[alone]
             have = 1
             for step in _doubled(min_lines):
                 ok = np.flatnonzero(left >= have + step)
@@ -51,22 +66,25 @@ def _places(min_lines: int):
                 both = blank.copy()
                 both[ok] &= blank[ok + step]
                 name, blank, have = two, both, have + step
-            keep = np.flatnonzero((left >= min_lines) & ~blank)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(at[keep].astype(np.int32)), pa.array(name[keep, 0].view(np.int64)), pa.array(name[keep, 1].view(np.int64))], names=["doc_id", "at", "a", "b"])
+            run = np.flatnonzero((left >= min_lines) & ~blank)
+            keep, name = np.concatenate([run, alone]), np.concatenate([name[run], line])
+            n = np.repeat(np.array([min_lines, 1], np.int32), [len(run), len(alone)])
+            a, b = (np.ascontiguousarray(name[:, k]).view(np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(at[keep].astype(np.int32)), pa.array(n), pa.array(a), pa.array(b)], names=["doc_id", "at", "n_run", "a", "b"])
 
     return run
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id and at: places of line runs of min_lines that have an earlier copy, in order of (doc_id, line)."""
+def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, at, n_run: places of runs of n_run lines that have an earlier copy, in order of (doc_id, line)."""
     c.small_batches(docs.sparkSession)
-    places = docs.select("doc_id", "text").mapInArrow(_places(min_lines), "doc_id long, at int, a long, b long")
+    places = docs.select("doc_id", "text").mapInArrow(_places(min_lines, min_words), "doc_id long, at int, n_run int, a long, b long")
     interval = places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    return places.join(interval, ["a", "b"]).where("struct(doc_id, at) > first").select("doc_id", "at")
+    return places.join(interval, ["a", "b"]).where("struct(doc_id, at) > first").select("doc_id", "at", "n_run")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Delete later copies of repeated runs of at least min_lines lines.
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """Delete later copies of repeated runs of at least min_lines lines, and of lines of at least min_words words.
 
     ``docs`` needs doc_id (unique) and text. Returns all columns of docs with the lines that remain in text,
     and n_lines, n_removed. Order is by doc_id, then line, across and within documents; copies may overlap.
@@ -76,9 +94,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     if min_lines < 1:
         raise ValueError("min_lines must be 1 at least")
-    gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null"), min_lines)
-    gone = gone.distinct().groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    cover = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + (min_lines - 1))))) if min_lines > 1 else F.col("at")
+    gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null"), min_lines, min_words)
+    gone = gone.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "n_run")).alias("at"))
+    cover = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["at"], x["at"] + x["n_run"] - 1))))
     gone = gone.select("doc_id", F.map_from_arrays(cover, F.array_repeat(F.lit(True), F.size(cover))).alias("gone"))
     # All columns of docs travel in one struct, so none of their names can clash with those used here.
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
@@ -103,9 +121,11 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 with l as (select doc_id, string_split(text, chr(10)) as v from documents where text is not null),
 p as (select doc_id, v, unnest(range(len(v) - {MIN_LINES} + 1)) as spot from l where len(v) >= {MIN_LINES}),
-w as (select doc_id, spot, list_slice(v, spot + 1, spot + {MIN_LINES}) as run from p),
+o as (select doc_id, v, unnest(range(len(v))) as spot from l),
+w as (select doc_id, spot, list_slice(v, spot + 1, spot + {MIN_LINES}) as run from p
+  union all select doc_id, spot, [v[spot + 1]] from o where len(list_filter(string_split(v[spot + 1], ' '), lambda x: x <> '')) >= {MIN_WORDS}),
 f as (select *, row_number() over (partition by run order by doc_id, spot) as k from w where len(list_filter(run, lambda x: trim(x, ' ') <> '')) > 0),
-g as (select doc_id, list_distinct(flatten(list(range(spot, spot + {MIN_LINES})))) as gone from f where k > 1 group by doc_id)
+g as (select doc_id, list_distinct(flatten(list(range(spot, spot + len(run))))) as gone from f where k > 1 group by doc_id)
 select d.doc_id, case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as n_lines,
   coalesce(len(g.gone), 0) as n_removed,
   sha256(coalesce(array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: not coalesce(list_contains(g.gone, i - 1), false)), chr(10)), '')) as text_sha256

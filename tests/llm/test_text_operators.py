@@ -211,27 +211,36 @@ def test_directory_doubles():
     assert places[4] == places[7]  # a bucket that is not overfull has several places
 
 
-def brute_lines(rows, k):
+def brute_lines(rows, k, words=50):
     seen, gone = {}, defaultdict(set)
     for d, t in sorted((x for x in rows if x[1] is not None), key=lambda x: x[0]):
         v = t.split("\n")
-        for i in range(len(v) - k + 1):
-            run = tuple(v[i : i + k])
-            if any(x.strip(" ") for x in run):
+        for i in range(len(v)):
+            whole = {tuple(v[i : i + k])} if i + k <= len(v) and any(x.strip(" ") for x in v[i : i + k]) else set()
+            alone = {(v[i],)} if len([x for x in v[i].split(" ") if x]) >= words else set()
+            for run in whole | alone:
                 if run in seen:
-                    gone[d].update(range(i, i + k))
+                    gone[d].update(range(i, i + len(run)))
                 seen.setdefault(run, (d, i))
     return sorted([(d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]), len(gone[d])) for d, t in rows], key=repr)
 
 
-@pytest.mark.parametrize("k", [1, 2, 3, 5])
-def test_lines(docs, rows, empty, k):
-    out = lines.dedup_lines(docs, k)
-    assert tuples(out, "doc_id", "text", "n_removed") == brute_lines(rows, k)
+@pytest.mark.parametrize(("k", "words"), [(1, 50), (2, 50), (3, 10), (5, 50)])
+def test_lines(docs, rows, empty, k, words):
+    out = lines.dedup_lines(docs, k, words)
+    assert tuples(out, "doc_id", "text", "n_removed") == brute_lines(rows, k, words)
     assert set(docs.columns) <= set(out.columns)
     assert lines.dedup_lines(empty, k).count() == 0
 
 
+def test_long_line_is_a_passage(spark):
+    """A line of 50 words that stands in two documents goes from the later one; the same with 49 words stays."""
+    long, short = " ".join(["word"] * 50), " ".join(["word"] * 49)
+    docs = spark.createDataFrame([(1, f"a\n{long}\nb"), (2, f"c\n{long}\n{long}\nd"), (3, f"e\n{short}\nf"), (4, f"g\n{short}\nh")], "doc_id long, text string")
+    got = dict(tuples(lines.dedup_lines(docs), "doc_id", "text"))
+    assert got[2] == "c\nd" and [got[k].count(short) for k in (1, 3, 4)] == [1, 1, 1]
+
+
 @pytest.mark.parametrize(("span", "gram"), [(50, 20), (12, 5), (40, 8)])
 def test_substrings(docs, rows, empty, span, gram):
     out = substrings.remove_repeats(docs, span, gram).withColumn("sha", F.sha2("kept", 256))
