@@ -218,9 +218,11 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str, shapes: bool, shares:
     rated = rated.orderBy(F.xxhash64("__id"), "__id", "__grade").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(rated), "__id").select("__grade", "text")  # sample rows at most are broadcast
-    got = rows.mapInArrow(_feature_rows(shapes, shares), "grade double, payload binary").collect()
+    got = rows.mapInArrow(_feature_rows(shapes, shares), "grade double, payload binary")
+    # Documents that repeat a rated doc_id must not swell what the driver reads, nor crowd out a grade.
+    got = got.orderBy(F.xxhash64("payload"), "grade").limit(2 * sample).collect()
     read = []
-    for r in sorted(got, key=lambda r: (r[0], bytes(r[1])))[: 2 * sample]:
+    for r in sorted(got, key=lambda r: (r[0], bytes(r[1]))):
         x = c.unpack(bytes(r[1]))
         read.append((r[0], x["f"].astype(np.int64), x["v"].astype(float)))
     return fit(read, shapes, shares)
