@@ -93,3 +93,22 @@ def degrees_minutes(text: Column, negative: str, limit: int) -> Column:
     value = part(1) + part(2) / 60 + part(3) / 3600
     signed = F.when(F.upper(F.regexp_extract(text, pattern, 4)) == negative, -value).otherwise(value)
     return F.when(F.abs(signed) <= limit, signed)
+
+
+def pixel_index(lat: Column, lon: Column, pole: Pole = Pole()) -> tuple[Column, Column]:
+    """(line, sample) as integers, with the offsets and truncation that product files use."""
+    line, sample = pixel_of(lat, lon, pole)
+    return (F.lit(GRID) + (1 - F.lit(2 * CENTRE) + line).cast("int")).cast("int"), (sample + 1.5).cast("int")
+
+
+def image_to_grid(row: Column, column: Column, origin: tuple[float, float], cell: float) -> tuple[Column, Column]:
+    """(line, sample) of an image's pixel in the same projection; origin and cell of the image in metres."""
+    return CENTRE - (origin[1] - row * cell) / (1000 * SCALE), CENTRE + (origin[0] + column * cell) / (1000 * SCALE)
+
+
+def to_map(screen: Column, offset: float, scale: float) -> Column:
+    return (screen - offset) * scale
+
+
+def to_screen(place: Column, offset: float, scale: float) -> Column:
+    return place / scale + offset

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lumenfield.functions import photometry
+
 
 def time_grid(spark, start: str, stop: str, step: str) -> DataFrame:
     """i, t from start to stop, both included."""
@@ -30,3 +32,31 @@ def summary(curve: DataFrame, threshold: float, step_hours: float) -> DataFrame:
 def wide(curve: DataFrame, pids: list[int]) -> DataFrame:
     """A row for each step, a column for each of a few pids."""
     return curve.where(F.col("pid").isin(pids)).groupBy("i").pivot("pid", pids).agg(F.first("v"))
+
+
+def light(horizons: DataFrame, vectors: DataFrame, steps: int, most: int = 1 << 20) -> DataFrame:
+    """pid, i, v: the share of the disc that each pixel sees at each step.
+
+    ``horizons`` needs pid and horizon (1440 elevations in degrees), ``vectors`` i (0 to steps - 1), az and el in degrees. A
+    pixel's own row is exploded into steps, which meet the vectors by step; those are broadcast up to
+    ``most`` steps and shuffled beyond. Horizons are read in place, so they aren't multiplied in an exchange.
+    """
+    each = horizons.select("pid", "horizon", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
+    told = vectors.select("i", "az", "el")
+    met = each.join(F.broadcast(told) if steps <= most else told, "i")
+    return met.select("pid", "i", photometry.disc_fraction(F.col("horizon"), F.col("az"), F.col("el")).alias("v"))
+
+
+def events(runs: DataFrame) -> DataFrame:
+    """pid, lit, start, stop of the runs that end in a change; the last run of a series doesn't."""
+    return runs.where("stop < n").select("pid", "lit", "start", "stop")
+
+
+def stations(seen: DataFrame, mask: float) -> DataFrame:
+    """For each t the station with the highest el of those whose mask value reaches ``mask``; if there is none, the first by name.
+
+    ``seen`` needs t, station, mask, el; ties go to the first name. ``suitable`` tells whether one reached it.
+    """
+    ok = F.col("mask") >= mask
+    rank = F.struct((~ok).alias("bad"), F.when(ok, -F.col("el")).alias("low"), F.col("station").alias("station"))
+    return seen.groupBy("t").agg(F.min_by(F.struct("station", "el", ok.alias("suitable")), rank).alias("best")).select("t", "best.*")

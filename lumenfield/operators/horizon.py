@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def ring(ids: DataFrame, radius: int, columns: int, rows: int) -> DataFrame:
@@ -59,3 +59,27 @@ def far_nodes(targets: DataFrame, root: int = 256, limit: float = 90.0, resoluti
         level = d.where(~fine).select("x", "y", "nx", "ny", F.explode(F.array(*[F.struct(F.lit(a * step).alias("a"), F.lit(b * step).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("o"))
         level = level.select("x", "y", (F.col("nx") + F.col("o.a")).alias("nx"), (F.col("ny") + F.col("o.b")).alias("ny"))
     return out
+
+
+def adjacent(ids: DataFrame, dx: int, dy: int, columns: int, rows: int) -> DataFrame:
+    """x, y and the tile nx, ny at an offset, where the grid of tiles has it."""
+    out = ids.select("x", "y", (F.col("x") + dx).alias("nx"), (F.col("y") + dy).alias("ny"))
+    return out.where(F.col("nx").between(0, columns - 1) & F.col("ny").between(0, rows - 1))
+
+
+def rising(pairs: DataFrame, near: int = 6, bins: int = 1440) -> DataFrame:
+    """The pairs whose caster may cast a shadow: one of its vectors rises over the target's horizon, or it is near.
+
+    Pairs need x, y, nx, ny, horizon (an array by azimuth bin) and vectors, an array of az (radians, 0 to two
+    pi) and slope in the unit of the horizon. All is one filter on a pair's own row.
+    """
+    close = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny")) <= near * near
+    over = F.exists("vectors", lambda v: v["slope"] > F.get("horizon", F.floor(0.5 + v["az"] * ((bins - 1) / (2 * math.pi))).cast("int")))
+    return pairs.where(close | over)
+
+
+def spans(bins: DataFrame, value: str = "v") -> DataFrame:
+    """pid, first, last: unbroken spans of azimuth bins that have a value, for drawing; gaps are where none is."""
+    seen = bins.where(F.col(value).isNotNull()).select("pid", "bin")
+    w = W.partitionBy("pid").orderBy("bin")
+    return seen.withColumn("part", F.col("bin") - F.row_number().over(w)).groupBy("pid", "part").agg(F.min("bin").alias("first"), F.max("bin").alias("last")).drop("part")

@@ -22,6 +22,12 @@ def faces(points: DataFrame, step: int = 1) -> DataFrame:
     return full.select("line", "sample", F.explode(F.array(F.array(p(0, 0), p(step, 0), p(step, step)), F.array(p(0, 0), p(step, step), p(0, step)))).alias("face"))
 
 
+def counts(points: DataFrame, step: int = 1) -> DataFrame:
+    """vertices, faces: one row."""
+    n = faces(points, step).agg(F.count("*").alias("faces"))
+    return points.agg(F.count("*").alias("vertices")).select("vertices", F.lit(1).alias("k")).join(F.broadcast(n.select("faces", F.lit(1).alias("k"))), "k").drop("k")  # two rows
+
+
 def ply(points: DataFrame, triangles: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """Lines of an ASCII PLY file in order of ``k``: vertex numbers come from sorted places, not from a driver."""
     n, m = points.count(), triangles.count()

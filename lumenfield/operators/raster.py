@@ -96,3 +96,15 @@ def top(raster: DataFrame, k: int, value: str = "v") -> DataFrame:
 def tile_bounds(raster: DataFrame, tile: Column, value: str = "h") -> DataFrame:
     """For each tile its extent, lowest and highest value, and the pixel of the highest one."""
     return raster.groupBy(tile.alias("tile")).agg(F.min("line").alias("top"), F.max("line").alias("bottom"), F.min("sample").alias("left"), F.max("sample").alias("right"), F.min(value).alias("low"), F.max(value).alias("high"), F.max_by(F.struct("line", "sample"), F.struct(F.col(value), -F.col("line"), -F.col("sample"))).alias("at")).select("tile", "top", "bottom", "left", "right", "low", "high", "at.line", "at.sample")
+
+
+def scaled(raster: DataFrame, factor: float) -> DataFrame:
+    return raster.withColumn("v", F.col("v") * factor)
+
+
+def neighbours(grid: DataFrame, value: str = "h") -> DataFrame:
+    """line, sample, value, and those of the next line and the previous sample, where both are there; one aggregation."""
+    sent = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(n).alias("n")) for n, (a, b) in enumerate(((0, 0), (-1, 0), (0, 1)))]))
+    told = grid.select("line", "sample", value, sent.alias("o")).select((F.col("line") + F.col("o.a")).alias("line"), (F.col("sample") + F.col("o.b")).alias("sample"), value, "o.n")
+    names = (value, f"{value}_line", f"{value}_sample")
+    return told.groupBy("line", "sample").agg(*[F.max(F.when(F.col("n") == k, F.col(value))).alias(name) for k, name in enumerate(names)]).where(" and ".join(f"{n} is not null" for n in names))

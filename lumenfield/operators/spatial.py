@@ -38,3 +38,18 @@ def in_chunks(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     b = boxes.select("*", F.explode(F.sequence(at("x1"), at("x2"))).alias("cx")).withColumn("cy", F.explode(F.sequence(at("y1"), at("y2"))))
     both = points.withColumns({"cx": at("px"), "cy": at("py")}).join(b, ["cx", "cy"])
     return both.where(F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))).select("pid", "bid")
+
+
+def rectangles(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """aid, bid and the shared part x1, y1, x2, y2 of boxes with common area.
+
+    Both need an id (aid, bid), x1, y1, x2, y2. Boxes are sent to the cells they touch; a pair is told by the
+    one cell that has its shared part's lower corner, so it comes once without a distinct.
+    """
+    at = lambda c: F.floor(c / cell).cast("long")
+    cells = lambda d: d.withColumn("cx", F.explode(F.sequence(at(F.col("x1")), at(F.col("x2"))))).withColumn("cy", F.explode(F.sequence(at(F.col("y1")), at(F.col("y2")))))
+    names = ("x1", "y1", "x2", "y2")
+    right = cells(b.select("bid", *names)).withColumnsRenamed({n: f"b{n}" for n in names})
+    met = cells(a.select("aid", *names)).join(right, ["cx", "cy"])
+    part = met.select("aid", "bid", "cx", "cy", *[f(n, f"b{n}").alias(n) for n, f in zip(names, (F.greatest, F.greatest, F.least, F.least), strict=True)])
+    return part.where((F.col("x1") < F.col("x2")) & (F.col("y1") < F.col("y2")) & (at(F.col("x1")) == F.col("cx")) & (at(F.col("y1")) == F.col("cy"))).drop("cx", "cy")

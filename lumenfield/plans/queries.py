@@ -368,12 +368,12 @@ def product_names(spark, sf):
 # Horizons and meshes
 
 
-@query(f"""with {GRID}, t as (select line as tline, sample as tsample, h as th from grid where line % 8 = 0 and sample % 8 = 0),
+@query(f"""with {GRID}, t as (select line as tline, sample as tsample, h as th from grid),
 p as (select tline, tsample, cast(g.sample - tsample as double) as dx, cast(tline - g.line as double) as dy, g.h - th as rise from t join grid g on abs(g.sample // 8 - tsample // 8) <= 2 and abs(g.line // 8 - tline // 8) <= 2)
 select tline, tsample, cast(floor(0.5 + (atan2(dy, dx) + pi()) * (179 / (2 * pi()))) as int) as bin, round(max(rise / sqrt(dx * dx + dy * dy)), 6) as slope from p where dx <> 0 or dy <> 0 group by 1, 2, 3""")
 def horizon_slopes(spark, sf):
     g = grid(spark, sf)
-    out = horizon.horizon(g.where("line % 8 = 0 and sample % 8 = 0"), g, 8, 2, bins=180)
+    out = horizon.horizon(g, g, 8, 2, bins=180)
     return out.withColumn("slope", F.round("slope", 6))
 
 
@@ -393,7 +393,7 @@ def neighbour_rings(spark, sf):
 
 def _quadtree(step: int) -> str:
     gap = lambda n, t: f"greatest(0, {n} - ({t} + 1), {t} - ({n} + step))"
-    return f"""with recursive t as (select cast(s_suppkey % 16 as int) as x, cast(s_suppkey // 16 % 16 as int) as y from supplier where s_suppkey <= 40 group by 1, 2),
+    return f"""with recursive t as (select cast(s_suppkey % 16 as int) as x, cast(s_suppkey // 16 % 16 as int) as y from supplier group by 1, 2),
 n(x, y, nx, ny, step, d, fine) as (
 select x, y, 0, 0, {step}, 0.0::double, false from t
 union all
@@ -406,7 +406,7 @@ select x, y, nx, ny, step from n where fine"""
 @query(_quadtree(32))
 def far_field_nodes(spark, sf):
     k = F.col("s_suppkey")
-    t = table(spark, sf, "supplier").where(k <= 40).select((k % 16).cast("int").alias("x"), F.floor(k / 16 % 16).cast("int").alias("y")).distinct()
+    t = table(spark, sf, "supplier").select((k % 16).cast("int").alias("x"), F.floor(k / 16 % 16).cast("int").alias("y")).distinct()
     return horizon.far_nodes(t, root=32)
 
 

@@ -11,9 +11,9 @@ import pytest
 
 import __spark_entry__
 from lumenfield.functions import geometry as geo
-from lumenfield.functions import photometry as ph
-from lumenfield.operators import curves, horizon, mesh, raster, runs, spatial
-from lumenfield.plans import queries as core
+from lumenfield.functions import palettes, photometry as ph, vectors as vec
+from lumenfield.operators import curves, horizon, mesh, raster, runs, sampling, spatial
+from lumenfield.plans import products, queries as core  # noqa: F401 - products adds its queries
 from lumenfield.sources import codecs, text
 from pyspark.sql import functions as F
 
@@ -171,3 +171,32 @@ def test_empty_tables(spark):
     assert raster.histogram(none).agg(F.sum("n")).first()[0] == 0
     assert raster.mosaic([none, none]).count() == 0 and raster.disc_max(none, 2).count() == 0
     assert curves.summary(spark.createDataFrame([], "pid long, i int, v double"), 1.0, 2.0).count() == 0
+
+
+def test_vectors_and_frames(spark):
+    v = (F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    moved = vec.affine(v, [[0, 1, 0], [-1, 0, 0], [0, 0, 1], [10, 20, 30]])
+    zero = vec.unit((F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    az, el = vec.site_az_el((F.lit(0.0), F.lit(1.0), F.lit(1.0)))
+    r = spark.range(1).select(*[x.alias(f"c{k}") for k, x in enumerate((*moved, *vec.cross(v, v), *zero, az, el))]).first()
+    assert tuple(r)[:6] == (8.0, 21.0, 33.0, 0.0, 0.0, 0.0) and tuple(r)[6:9] == (None,) * 3
+    assert r[9] == pytest.approx(-math.pi / 2) and r[10] == pytest.approx(math.pi / 4)
+
+
+def test_palettes():
+    p = palettes.light_levels()
+    assert len(p) == 100 and p[0] == p[9] == 0 and p[99] == 0xFFFFFF and p[95] == 0xF4F4F4 and p[80] >> 8 & 255 and not p[80] & 0xFF00FF
+    assert palettes.grayscale()[::85] == [0, 0x555555, 0xAAAAAA, 0xFFFFFF]
+
+
+def test_image_places(spark):
+    line, sample = geo.image_to_grid(F.lit(10), F.lit(4), (-2000.0, 2000.0), 20.0)
+    x = geo.to_screen(geo.to_map(F.lit(7.0), 2, 0.5), 2, 0.5)
+    assert tuple(spark.range(1).select(line, sample, x).first()) == pytest.approx((15199.5 - 90, 15199.5 - 96, 7.0))
+
+
+def test_empty_tables(spark):
+    g = spark.createDataFrame([], "line int, sample int, h double")
+    assert sampling.bilinear(spark.createDataFrame([(1, 0.5, 0.5)], "pid long, py double, px double"), g).count() == 0
+    assert sampling.test_points(g.withColumnRenamed("h", "r"), 8).count() == raster.neighbours(g).count() == 0
+    assert tuple(mesh.counts(g).first()) == (0, 0)
