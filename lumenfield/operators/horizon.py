@@ -24,6 +24,8 @@ def horizon(targets: DataFrame, casters: DataFrame, tile: int, reach: int, bins:
     near = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
     t = targets.select(F.col("line").alias("tline"), F.col("sample").alias("tsample"), F.col("h").alias("th"), near.alias("a")).withColumn("b", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
     t = t.select("tline", "tsample", "th", (F.floor(F.col("tsample") / tile) + F.col("a")).alias("tx"), (F.floor(F.col("tline") / tile) + F.col("b")).alias("ty"))
+    # Few targets can mean many pairs, so their partitions are set here rather than merged by size.
+    t = t.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tx", "ty")
     c = casters.select("line", "sample", "h", F.floor(F.col("sample") / tile).alias("tx"), F.floor(F.col("line") / tile).alias("ty"))
     both = t.join(c, ["tx", "ty"])
     dx, dy = (F.col("sample") - F.col("tsample")) * cell, (F.col("tline") - F.col("line")) * cell
