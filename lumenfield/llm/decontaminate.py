@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,8 +18,10 @@ from lumenfield.llm import common as c
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
-#: Bytes of benchmark text for one automaton, whose nodes are some dozen times that; a larger benchmark takes several passes.
+#: Bytes of benchmark text for one automaton, whose nodes are some dozen times that; a larger benchmark has several, one in memory at a time.
 AUTOMATON_BYTES = 1 << 18
+#: Bytes of documents that a task holds while several automata take turns.
+CHUNK_BYTES = 1 << 26
 #: A document is contaminated if at least this share of its words is hit.
 SHARE = (1, 20)
 
@@ -52,30 +53,48 @@ def automaton(items: list[tuple[int, str | None]], window: int) -> tuple[ahocora
     return a, owners, sizes
 
 
-def _scan(shared) -> object:
+def _scan(shared, window: int):
+    """A row for each row, with its columns after doc_id and text, whatever the number of automata: they take turns over some texts at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto, owners, sizes = pickle.loads(shared.value)
-        for batch in batches:
-            out = ([], [], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = (doc, *scan(text, auto, owners, sizes))
-                for col, x in zip(out, row, strict=True):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _HITS.types, strict=True)], schema=_HITS)
+        blocks = shared.value
+        only = automaton(blocks[0], window) if len(blocks) == 1 else None
+        for held in _chunks(batches, 0 if only else CHUNK_BYTES):
+            texts = [b.column(1).to_pylist() for b in held]
+            hits = [[(None, set())] * len(t) for t in texts]
+            for block in blocks:
+                auto = only or automaton(block, window)
+                hits = [[_either(h, found(t, *auto)) for h, t in zip(x, y, strict=True)] for x, y in zip(hits, texts, strict=True)]
+            for b, t, h in zip(held, texts, hits, strict=True):
+                rows = [(d, *told(x, *y)) for d, x, y in zip(b.column(0).to_pylist(), t, h, strict=True)]
+                cols = zip(*rows, strict=True) if rows else [[]] * len(_HITS)
+                rest = range(2, b.num_columns)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(cols, _HITS.types, strict=True)), *(b.column(k) for k in rest)], names=[*_HITS.names, *(b.schema.names[k] for k in rest)])
 
     return run
 
 
-def scan(text: str | None, auto, owners: list[list[int]], sizes: list[int]):
-    """(number of words, of hit words, their bits or None, item_ids, spans of hit words in the text's characters)."""
-    low = (text or "").encode().translate(_TABLE)
-    ws = low.split()
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def found(text: str | None, auto, owners: list[list[int]], sizes: list[int]) -> tuple[np.ndarray | None, set[int]]:
+    """(which words are hit or None, item_ids)."""
+    ws = words(text)
     if auto is None or not ws:
-        return len(ws), 0, None, [], []
+        return None, set()
     joined = f" {b' '.join(ws).decode('utf-8', 'surrogateescape')} "
     ends = list(auto.iter(joined))
     if not ends:
-        return len(ws), 0, None, [], []
+        return None, set()
     hit = np.zeros(len(ws), bool)
     items: set[int] = set()
     gaps = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4") == 32)  # the space after word k is gaps[k + 1]
@@ -83,54 +102,56 @@ def scan(text: str | None, auto, owners: list[list[int]], sizes: list[int]):
         last = int(np.searchsorted(gaps, at))
         hit[last - sizes[k] : last] = True
         items.update(owners[k])
+    return hit, items
+
+
+def _either(x: tuple[np.ndarray | None, set[int]], y: tuple[np.ndarray | None, set[int]]) -> tuple[np.ndarray | None, set[int]]:
+    """What one of two automata hits in a text."""
+    if x[0] is None or y[0] is None:
+        return y if x[0] is None else x
+    return x[0] | y[0], x[1] | y[1]
+
+
+def told(text: str | None, hit: np.ndarray | None, items: set[int]):
+    """(number of words, of hit words, their bits or None, item_ids, spans of hit words in the text's characters)."""
+    low = (text or "").encode().translate(_TABLE)
+    if hit is None:
+        return len(low.split()), 0, None, [], []
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
     place = [m.span() for m in _WORD.finditer(low)]
     chars = np.cumsum((np.frombuffer(low, np.uint8) & 0xC0) != 0x80)  # code points up to each byte
     spans = [(int(chars[place[a][0]]) - 1, int(chars[place[b - 1][1] - 1])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-    return len(ws), int(hit.sum()), np.packbits(hit).tobytes(), sorted(items), [{"start": s, "end": e} for s, e in spans]
+    return len(hit), int(hit.sum()), np.packbits(hit).tobytes(), sorted(items), [{"start": s, "end": e} for s, e in spans]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """Where windows of benchmark items occur in documents.
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored. A window is
-    ``window`` consecutive words of an item, or a shorter item as a whole. Returns for each document its
+    ``window`` consecutive words of an item, or a shorter item as a whole. Returns for each row of docs its
     doc_id, n_words, hit words (n_hit, and words: their bits), items (item_ids whose windows occur),
-    spans (of hit words in the original text's characters). A null or empty text has no words; an item
-    without words has no window; items that repeat count once; an empty benchmark hits nothing. Repeated rows
-    of documents come back one by one, or as one where the benchmark takes several passes.
+    spans (of hit words in the original text's characters), and in the struct row the columns to ``keep``. A null or
+    empty text has no words; an item without words has no window; items that repeat count once; an empty
+    benchmark hits nothing. Rows of a repeated or null doc_id come back one by one, each with the hits of its own
+    text. None of this depends on the benchmark's size.
     """
     spark = docs.sparkSession
     c.small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rest = [F.struct(*keep).alias("row")] if keep else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // AUTOMATON_BYTES) or 1
-    passes = []
-    for k in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        shared = spark.sparkContext.broadcast(pickle.dumps(automaton([tuple(r) for r in block.toLocalIterator()], window)))
-        passes.append(docs.mapInArrow(_scan(shared), HITS))
-    if n == 1:
-        return passes[0]
-    found = passes[0]
-    for p in passes[1:]:
-        found = found.unionAll(p)
-    found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.sum("n_hit").alias("n_hit"), F.collect_list("words").alias("each"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return found.mapInArrow(_either, HITS)
-
-
-def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bits of several passes as one."""
-    for b in batches:
-        bits = [bytes(np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in each])) if each else None for each in b.column(3).to_pylist()]
-        hit = pa.array([0 if x is None else int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in bits], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), hit, pa.array(bits, pa.binary()), b.column(4), b.column(5).cast(_SPANS)], schema=_HITS)
+    blocks = [[] for _ in range(n)]
+    for k, *item in items.select(F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"), "item_id", "text").toLocalIterator():
+        blocks[k].append(tuple(item))
+    schema = HITS + (f", row {docs.schema['row'].dataType.simpleString()}" if keep else "")
+    return docs.mapInArrow(_scan(spark.sparkContext.broadcast(blocks), window), schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """find_hits() and contaminated: some word is hit, and a twentieth of the words at least."""
-    return find_hits(docs, benchmark, window).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE[1] >= F.col("n_words") * SHARE[0]))
+    return find_hits(docs, benchmark, window, keep).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE[1] >= F.col("n_words") * SHARE[0]))
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
