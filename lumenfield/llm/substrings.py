@@ -390,27 +390,43 @@ def splitters(docs: DataFrame, n: int, span: int, gram: int) -> np.ndarray:
     return np.unique(leads[np.linspace(0, len(leads) - 1, n + 1).astype(int)[1:-1]]) if len(leads) > n else np.unique(leads)[: n - 1]
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """docs with ids beyond all others for the rows that have none, and the largest id there was; None if no row lacks one."""
+    none, last = docs.agg(F.count_if(F.col("doc_id").isNull()), F.max("doc_id")).first()
+    if not none:
+        return docs, None
+    last = -1 if last is None else last
+    lacking = c.checkpointed(docs.where("doc_id is null").select(F.monotonically_increasing_id().alias("k"), "text"))
+    if lacking.agg(F.max("k")).first()[0] >= (1 << 63) - 1 - last:
+        raise ValueError("no ids are left for rows without one")
+    return docs.where("doc_id is not null").unionAll(lacking.select((F.col("k") + F.lit(last + 1)).alias("doc_id"), "text")), last
+
+
 def remove_repeats(docs: DataFrame, span: int = 50, gram: int = 20, drop_text: bool = False) -> DataFrame:
     """Remove each byte covered by a span-byte string that also starts in a document with a smaller doc_id.
 
-    ``docs`` needs doc_id (unique, not null) and text; other columns are ignored. Returns doc_id,
+    ``docs`` needs doc_id (unique where not null) and text; other columns are ignored. Returns doc_id,
     n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes that remain (a cut may fall
     inside a UTF-8 sequence). A null or short text keeps all it has; strings never cross documents;
     one row comes back for each row; an empty table gives an empty one. Rows that share a doc_id must be
-    repeats of one text: they don't remove from each other, and each gets the same result.
+    repeats of one text: they don't remove from each other, and each gets the same result. A row of a null
+    doc_id is a document of its own that comes after all others, and among such rows in the order they are
+    read in; it comes back with its null.
     """
     if not 1 <= gram <= span - 1:
         raise ValueError("gram must be from 1 to span - 1")
     spark = docs.sparkSession
     c.small_batches(spark)
     n = c.partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs, last = numbered(docs)
     cuts = splitters(docs, n, span, gram)
     texts = docs.mapInArrow(_text_rows(n), c.PACKED)
     shared = c.exchanged(docs.mapInArrow(_anchor_rows(n, span, gram), c.PACKED), n).mapInArrow(_shared_rows(n), c.PACKED)
     windows = c.exchanged(texts.unionAll(shared), n).mapInArrow(_window_rows(n, span, gram, cuts), c.PACKED)
     gone = c.exchanged(windows, n).mapInArrow(_resolve_rows(n, span, gram), c.PACKED)
-    return c.exchanged(texts.unionAll(gone), n).mapInArrow(_final_rows(span), RESULT)
+    out = c.exchanged(texts.unionAll(gone), n).mapInArrow(_final_rows(span), RESULT)
+    return out if last is None else out.withColumn("doc_id", F.when(F.col("doc_id") <= last, F.col("doc_id")))
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from lumenfield.llm import decontaminate
+import corpus_pipeline
+from lumenfield.llm import decontaminate, substrings
 
 
 @pytest.mark.parametrize("size", [1 << 18, 300, 60])
@@ -24,3 +26,30 @@ def test_hits_do_not_depend_on_the_number_of_automata(spark, monkeypatch, size):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert {x[2] for x in got} == {0, 20, 40}
     assert all(a["end"] < b["start"] for x in out for a, b in zip(x["spans"], x["spans"][1:], strict=False))
+
+
+@pytest.mark.parametrize("first", [0, -9])
+def test_repeats_go_from_rows_without_id(spark, first):
+    r = random.Random(2)
+    word = lambda k: " ".join(f"v{r.randrange(10**6)}" for _ in range(k))
+    shared, own = word(15), [word(12) for _ in range(5)]
+    rows = [(first, f"{shared} {own[0]}"), (first + 1, f"{own[1]} {shared}")]
+    lacking = [f"{own[2]} {shared}", own[3], own[4], own[4], None]  # two of one text: one of them loses it
+    docs = spark.createDataFrame(rows + [(None, t) for t in lacking], "doc_id long, text string").repartition(2)
+    out = substrings.remove_repeats(docs).withColumn("sha", F.sha2("kept", 256)).select("doc_id", "n_bytes", "n_removed", "n_spans", "sha").collect()
+    want = substrings.brute_force(rows + [(100 + k, t) for k, t in enumerate(lacking)])
+    assert sorted(map(tuple, out), key=repr) == sorted([(d if d < 100 else None, *x) for d, *x in want], key=repr)
+    assert substrings.remove_repeats(docs.where("doc_id is null")).count() == 5
+
+
+def test_pipeline_stages_keep_clean_rows_without_id(spark, tmp_path):
+    r = random.Random(5)
+    word = lambda: " ".join(f"u{r.randrange(10**6)}" for _ in range(40))
+    item, one, two, three = word(), word(), word(), word()
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in [(None, one), (None, two), (3, two), (4, three), (4, three), (None, item), (5, item + " x")]], "doc_id long, text string, lang string, source string, n_chars long")
+    tell = lambda d: sorted(((x["doc_id"], x["text"]) for x in d.collect()), key=repr)
+    assert tell(corpus_pipeline.near_dedup(spark, docs, "")) == sorted([(None, one), (3, two), (4, three), (5, item + " x")], key=repr)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert tell(out) == sorted([(None, one), (None, two), (3, two), (4, three), (4, three)], key=repr)
