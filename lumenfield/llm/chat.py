@@ -54,22 +54,40 @@ def format_chats(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
 
 
 def read_chats(formatted: DataFrame, trained: str = TRAINED) -> DataFrame:
-    """conv_id, turns array<struct<role, text, loss>>, as read back from formatted alone."""
+    """formatted with turns array<struct<role, text, loss>>, as read back from the column formatted alone."""
     blocks = F.filter(_split(F.col("formatted"), START), lambda b: b != "")
     role = lambda b: unescaped(F.element_at(_split(b, BODY), 1))
     texts = lambda b: _split(F.replace(F.element_at(_split(b, BODY), 2), F.lit(END), F.lit("")), NEXT)
     turns = F.flatten(F.transform(blocks, lambda b: F.transform(texts(b), lambda x: F.struct(role(b).alias("role"), unescaped(x).alias("text"), (role(b) == trained).alias("loss")))))
-    return formatted.select("conv_id", "formatted", turns.alias("turns"))
+    return formatted.withColumn("turns", turns)
+
+
+def loss_texts(formatted: DataFrame, runs: int = 64) -> DataFrame:
+    """formatted with loss_text: all text of formatted under the mask loss_runs, unescaped, in order, nothing between.
+
+    Nothing but the mask says what it is. It is read in chunks of ``runs`` runs, so that a long conversation is not
+    searched from its first character for each of its turns.
+    """
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+    out = formatted.withColumn("chunks", F.expr(f"transform(sequence(0, greatest(int(ceil(size(loss_runs) / {runs})) - 1, 0)), k -> slice(loss_runs, k * {runs} + 1, {runs}))"))
+    out = out.withColumn("sizes", F.transform("chunks", lambda x: total(F.transform(x, lambda y: y["n"]))))
+    begin = lambda k: total(F.slice("sizes", 1, k))
+    out = out.withColumn("parts", F.transform("chunks", lambda x, k: F.struct(F.substr(F.col("formatted"), (begin(k) + 1).cast("int"), F.get("sizes", k).cast("int")).alias("part"), x.alias("runs"))))
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("text"))
+
+    def under(p: Column) -> Column:
+        piece = lambda a, x: F.when(x["loss"], F.concat(a["text"], unescaped(F.substr(p["part"], a["at"].cast("int"), x["n"].cast("int"))))).otherwise(a["text"])
+        return F.aggregate(p["runs"], start, lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), piece(a, x).alias("text")), lambda a: a["text"])
+
+    return out.withColumn("loss_text", F.array_join(F.transform("parts", under), "")).drop("chunks", "sizes", "parts")
 
 
 def op4_chat_formatting(spark, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     turns = c.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    read = read_chats(format_chats(turns))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    read = loss_texts(read_chats(format_chats(turns)))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    read = read.withColumn("loss_text", loss)
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 

@@ -42,13 +42,23 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a zstd parquet table in the shared folder, which goes when the application ends."""
+    """df as a zstd parquet table in the shared folder, which goes with free() or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: all that was made of them must be stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pack(**arrays: np.ndarray) -> bytes:

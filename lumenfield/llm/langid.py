@@ -9,29 +9,25 @@ n-grams), corrected for the hits that the filter's fill alone would give, and th
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lumenfield.llm import bytesx as bx
 from lumenfield.llm import common as c
 
 U = np.uint64
-GRAM = 4
+GRAM = 6
 #: Training texts of one language at most, about; those with the least hashes of doc_id.
 TEXTS = 4000
-#: N-grams of a language's filter at most, the most frequent first.
-GRAMS = 1 << 16
 #: Slots of the table, and probes for each n-gram.
-SLOTS_LOG2, PROBES = 20, 2
-#: An n-gram belongs to languages where it is at least this share as frequent as where it is most frequent.
-RELATIVE = 0.25
+SLOTS_LOG2, PROBES = 21, 2
+#: An n-gram belongs to each language whose training texts have it this often.
+LEAST = 2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 _NORMAL = np.full(256, 32, np.uint8)
 _NORMAL[97:123] = np.arange(97, 123)
@@ -47,13 +43,13 @@ def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = _NORMAL[buf]
     n = len(low) - GRAM + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    wide = low.astype(np.uint32)
-    g = wide[:n].copy()
-    for k in range(1, GRAM):
-        g = (g << np.uint32(8)) | wide[k : n + k]
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    g = low[:n].astype(np.uint64)
     pairs = (low[:-1] == 32) & (low[1:] == 32)
-    ok = ~(pairs[:n] | pairs[1 : n + 1] | pairs[2 : n + 2])
+    ok = ~pairs[:n]
+    for k in range(1, GRAM):
+        g = (g << U(8)) | low[k : n + k]
+        ok &= ~pairs[k : n + k] if k < GRAM - 1 else True
     for k in range(1, GRAM):  # strings that reach into the next text
         last = off[1:-1] - k
         ok[last[(last >= 0) & (last < n)]] = False
@@ -99,7 +95,7 @@ class Filters:
             best, sums = hits.argmax(1) if len(self.languages) else None, hits.sum(1)
             for i in range(len(off) - 1):
                 text = texts[first + i].as_py()
-                if not text or not _LETTER.search(text) or not self.languages:
+                if not text or not any(map(str.isalpha, text)) or not self.languages:  # isalpha: the categories L*
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                 else:
@@ -110,20 +106,22 @@ class Filters:
 
 def build(counts: list[tuple[str, int, int]], sizes: dict[str, int]) -> Filters:
     """Filters from (language, n-gram, count); sizes: training texts by language."""
+    held: dict[str, list[int]] = {k: [] for k in sizes}
+    for lang, g, n in counts:
+        if n >= LEAST:
+            held[lang].append(g)
+    return filters({k: [np.array(v, np.uint64)] for k, v in held.items()}, sizes)
+
+
+def filters(held: dict[str, list[np.ndarray]], sizes: dict[str, int]) -> Filters:
+    """Filters from the n-grams of each language."""
     languages = sorted(sizes)
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     table = np.zeros((1 << SLOTS_LOG2, -(-len(languages) // 64) or 1), kind)
-    lang = np.searchsorted(languages, [x[0] for x in counts]) if counts else np.zeros(0, np.int64)
-    g, n = np.array([x[1] for x in counts], np.uint32), np.array([x[2] for x in counts], float)
-    total = np.maximum(np.bincount(lang, n, len(languages)), 1)
-    share = n / total[lang] if len(n) else n
-    every, code = np.unique(g, return_inverse=True)
-    most = np.zeros(len(every))
-    np.maximum.at(most, code, share)
-    belongs = (n >= 2) & (share >= RELATIVE * most[code]) if len(n) else np.zeros(0, bool)
-    for k in range(len(languages)):
-        for i in slots(g[belongs & (lang == k)]):
-            table[i, k // 64] |= kind(1 << (k % 64))
+    for k, lang in enumerate(languages):
+        for g in held.get(lang, []):
+            for i in slots(g):
+                table[i, k // 64] |= kind(1 << (k % 64))
     fill = np.array([((table[:, k // 64] >> kind(k % 64)) & kind(1)).mean() for k in range(len(languages))])
     return Filters(languages, table, np.minimum(fill**PROBES, 0.99), max(languages, key=lambda x: (sizes[x], x), default=UNKNOWN))
 
@@ -138,8 +136,18 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def learn(docs: DataFrame, texts: int = TEXTS, n_grams: int = GRAMS) -> Filters:
-    """Filters from the text and lang of docs, both not null; about ``texts`` of a language at most."""
+def _packed_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrays of n-grams by language: a row for each language of a task."""
+    held: dict[str, list[np.ndarray]] = {}
+    for b in batches:
+        langs, g = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(zero_copy_only=False)
+        for x in set(langs):
+            held.setdefault(x, []).append(g[langs == x])
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([c.pack(g=np.concatenate(x)) for x in held.values()], pa.binary())], names=["lang", "payload"])
+
+
+def learn(docs: DataFrame, texts: int = TEXTS) -> Filters:
+    """Filters from the text and lang of docs, both not null; about ``texts`` of a language at most, of which all n-grams count."""
     c.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
@@ -148,9 +156,11 @@ def learn(docs: DataFrame, texts: int = TEXTS, n_grams: int = GRAMS) -> Filters:
     share = docs.sparkSession.createDataFrame([(k, min(1.0, texts / n)) for k, n in sizes.items()], "lang string, share double")
     # A row for each language is broadcast.
     pick = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("lang", "text")
-    counts = pick.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= n_grams).drop("k")
-    return build([tuple(r) for r in top.collect()], sizes)  # n_grams rows a language at most
+    counts = pick.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    held: dict[str, list[np.ndarray]] = {}
+    for r in counts.select("lang", "gram").mapInArrow(_packed_grams, "lang string, payload binary").collect():  # the sample's n-grams, eight bytes each at most
+        held.setdefault(r[0], []).append(c.unpack(bytes(r[1]))["g"].astype(np.uint64))
+    return filters(held, sizes)
 
 
 def _predictions(shared):

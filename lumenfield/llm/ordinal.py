@@ -22,6 +22,8 @@ from lumenfield.llm import common as c
 U = np.uint64
 #: Rated rows used for a fit at most; those with the least hashes of doc_id.
 SAMPLE = 8192
+#: Bytes of their features that the driver reads at most.
+SAMPLE_BYTES = 1 << 28
 #: L1 penalties where values are shares, and where they are presence; the latter from held-out rows.
 L1_SHARES, L1_PRESENCE = 1e-3, 3e-3
 #: Hashed features.
@@ -212,17 +214,22 @@ def _feature_rows(shapes: bool, shares: bool):
 
 
 def train(docs: DataFrame, ratings: DataFrame, grade: str, shapes: bool, shares: bool, sample: int = SAMPLE) -> Model:
-    """A model of ratings' ``grade`` column (any ordered numbers) from the texts of ``sample`` rated rows at most."""
+    """A model of ratings' ``grade`` column (any ordered numbers) from the texts of ``sample`` rated rows at most, of SAMPLE_BYTES of features."""
     c.small_batches(docs.sparkSession)
-    rated = ratings.select(F.col("doc_id").cast("long").alias("__id"), F.col(grade).cast("double").alias("__grade")).where("__id is not null and __grade is not null")
+    rated = ratings.select(F.col("doc_id").cast("long").alias("__id"), F.col(grade).cast("double").alias("__grade")).where("__id is not null and __grade is not null and not isnan(__grade)")
     rated = rated.orderBy(F.xxhash64("__id"), "__id", "__grade").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(rated), "__id").select("__grade", "text")  # sample rows at most are broadcast
     got = rows.mapInArrow(_feature_rows(shapes, shares), "grade double, payload binary")
     # Documents that repeat a rated doc_id must not swell what the driver reads, nor crowd out a grade.
-    got = got.orderBy(F.xxhash64("payload"), "grade").limit(2 * sample).collect()
+    got = c.stored(got.withColumn("k", F.xxhash64("payload", "grade")))
+    sizes = got.groupBy("k").agg(F.sum(F.octet_length("payload")).alias("n")).orderBy("k").limit(2 * sample).collect()
+    fits = np.cumsum([r["n"] for r in sizes]) <= SAMPLE_BYTES
+    last = sizes[int(fits.sum()) - 1]["k"] if fits.any() else -(1 << 63)
+    chosen = got.where(F.col("k") <= last).select("grade", "payload").collect()
+    c.free(got)
     read = []
-    for r in sorted(got, key=lambda r: (r[0], bytes(r[1]))):
+    for r in sorted(chosen, key=lambda r: (r[0], bytes(r[1]))):
         x = c.unpack(bytes(r[1]))
         read.append((r[0], x["f"].astype(np.int64), x["v"].astype(float)))
     return fit(read, shapes, shares)
