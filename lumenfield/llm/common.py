@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenfield.session import checkpointed, shared_dir, ship  # noqa: F401
 
@@ -61,6 +61,17 @@ def free(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def joined(many: DataFrame, one: DataFrame, key: str, total: int, most: int = 10_000) -> DataFrame:
+    """many joined with one, which has each key once and in n the number of its rows in many, of total rows in all.
+
+    Keys of more than a ``most``-th of all rows are fewer than ``most``: they are broadcast, so none is one task's.
+    """
+    line = max(1000, total // most)
+    hot = F.broadcast(one.where(F.col("n") > line))  # fewer than most rows, as all have more than total / most
+    rest = many.join(hot.select(key), key, "left_anti").join(one.where(F.col("n") <= line), key)
+    return many.join(hot, key).unionByName(rest).drop("n")
+
+
 def pack(**arrays: np.ndarray) -> bytes:
     """Arrays as one compressed payload."""
     out = io.BytesIO()

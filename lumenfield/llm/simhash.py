@@ -172,30 +172,42 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, root (the least node that it reaches) for the nodes of links a-b, by large-star and small-star steps."""
-    edges = c.checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(rounds):
+#: Links that one task may hold, 16 bytes each; more are contracted by steps over all tasks.
+ONE_TASK = 1 << 20
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars that a task's links make."""
+    held = [[x.to_numpy(zero_copy_only=False).astype(np.int64) for x in b.columns] for b in batches]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*map(np.concatenate, zip(*held, strict=True)))], names=["u", "v"])
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """node, root (the least node that it reaches) for the nodes of links a-b.
+
+    Links that one task can hold make their stars there. More of them go through large-star and small-star steps, until a step
+    changes nothing. The result is the same.
+    """
+    edges = c.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if edges.count() <= one_task:
+        out = c.stored(edges.repartition(1).mapInArrow(_contracted, "u long, v long"))
+        c.free(edges)
+        return out.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    while True:
         # Large star: each larger neighbour of a node gets the node's least neighbour.
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = c.stored(c.joined(both, least, "u", 2 * edges.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # Small star: each smaller neighbour and the node itself get the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        small = c.checkpointed(small)
-        if _same(edges, small):
-            edges = small
-            break
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = c.joined(large, low, "u", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+        small = c.stored(small)
+        same = edges.count() == small.count() and small.join(edges, ["u", "v"], "left_anti").isEmpty()  # both have each edge once
+        c.free(edges, large)
         edges = small
-    else:
-        raise RuntimeError(f"components need more than {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-def _same(x: DataFrame, y: DataFrame) -> bool:
-    tell = lambda d: d.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-    return tuple(tell(x)) == tuple(tell(y))
+        if same:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_groups(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int = 3) -> DataFrame:

@@ -315,3 +315,10 @@ def test_many_languages_share_a_table():
     words = [f.table[at[0], w] & f.table[at[1], w] for w in range(2)]
     assert ((words[1] >> np.uint64(69 - 64)) & np.uint64(1)).all()
     assert f.predict(pa.array(["  "]))[0] == ["und"]
+
+
+def test_components_by_steps_are_those_of_one_task(spark):
+    r = random.Random(6)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000, k) for k in range(1001, 1400)] + [(i, i + 1) for i in range(2000, 2070)]
+    df = spark.createDataFrame(links, "a long, b long")
+    assert sorted(simhash.components(df, 0).collect()) == sorted(simhash.components(df).collect())
