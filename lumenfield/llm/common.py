@@ -143,3 +143,60 @@ def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
     """A bucket in 0..n-1 for each integer id."""
     x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
+
+#: Slices in which arrays of tasks are put together.
+SLICES = 16
+#: Bits for each number in a filter; bits of a filter at least and at most, which bounds what is broadcast to 16 MB.
+BITS, FILTER_LOG2 = 16, (16, 27)
+
+
+def slices(df: DataFrame, merge: Callable) -> list[tuple[int, bytes]]:
+    """(slice, payload) of packed rows of tasks, whose bucket is a slice, put together by ``merge``: SLICES rows at most."""
+    out = exchanged(df, min(partitions(df.sparkSession), SLICES)).mapInArrow(by_bucket(merge), PACKED)
+    return [(r["bucket"], bytes(r["payload"])) for r in out.collect()]
+
+
+def _probes(x: np.ndarray, log2: int) -> list[np.ndarray]:
+    h = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return [(h >> np.uint64(64 - log2)).astype(np.int64), (h & np.uint64((1 << log2) - 1)).astype(np.int64)]
+
+
+def _marked(log2: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(1 << log2, bool)
+        for b in batches:
+            for i in _probes(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), log2):
+                on[i] = True
+        yield from packed_rows((k, 0, pack(b=np.packbits(x))) for k, x in enumerate(np.split(on, SLICES)) if x.any())
+
+    return run
+
+
+def _either(bucket: int, items: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    yield from packed_rows([(bucket, 0, pack(b=np.bitwise_or.reduce([unpack(p)["b"] for _, p in items])))])
+
+
+def filter_of(numbers: DataFrame) -> tuple[bytes, int]:
+    """(bits, logarithm of their number) of a Bloom filter of a column of longs.
+
+    It only spares work: with more numbers than it is made for it lets others pass, so what it lets pass must be compared.
+    """
+    least, most = FILTER_LOG2
+    log2 = min(max((BITS * numbers.count()).bit_length(), least), most)
+    out = np.zeros((SLICES, (1 << log2) // SLICES // 8), np.uint8)
+    for k, payload in slices(numbers.mapInArrow(_marked(log2), PACKED), _either):
+        out[k] = unpack(payload)["b"]
+    return pack(b=out.ravel()), log2
+
+
+def filter_bits(held: bytes) -> np.ndarray:
+    return unpack(held)["b"]
+
+
+def in_filter(on: np.ndarray, x: np.ndarray, log2: int) -> np.ndarray:
+    """Which of the unsigned numbers may be in the filter."""
+    i, j = _probes(x, log2)
+    hit = lambda k: (on[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & np.uint8(1)
+    return (hit(i) & hit(j)).astype(bool)
