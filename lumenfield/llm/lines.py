@@ -285,7 +285,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     gone = maximal_runs(repeated_lines(texts, min_lines, min_words, hasher))
     # All columns of docs travel in one struct, so none of their names can clash with those used here.
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), own.alias("v"))
-    out = rows.join(gone, ["doc_id", "v"], "left")
+    out = rows.join(gone.hint("merge"), ["doc_id", "v"], "left")  # a plan that is the same at every size
     lines = F.split(F.col("row")["text"].cast("string"), "\n", -1)  # after the join, which would else move texts twice
     starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda x: x["end"]))
     ends = F.concat(F.transform("runs", lambda x: x["start"]), F.array(F.size(lines)))
