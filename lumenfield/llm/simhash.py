@@ -210,7 +210,12 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_groups(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int = 3) -> DataFrame:
+def chosen_blocks(n: int) -> int:
+    """Blocks for n fingerprints: two need some 690 replicas of each in place of 50, but have 2**28 anchors in place of 2**17, so that fewer are compared at one."""
+    return 3 if n < 10**8 else 2
+
+
+def near_groups(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int | None = None) -> DataFrame:
     """Fingerprints and near-duplicate components.
 
     ``docs`` needs doc_id and text; other columns are ignored. Returns for each row doc_id, fingerprint (16
@@ -218,20 +223,22 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int = 3)
     most. A text with fewer words than a shingle is one shingle; one without words, or null, has
     fingerprint zero and is linked like any other. Repeated rows each come back. Rows of a null doc_id come
     back and link like others, but don't name a component unless all of it has null. Any bit count below
-    ``blocks`` * 16 works; links are never capped.
+    ``blocks`` * 16 works, and any number of blocks gives the same links; links are never capped.
     """
     spark = docs.sparkSession
     c.small_batches(spark)
     n = c.partitions(spark)
-    prints = c.checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(words), "doc_id long, fp long"))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = c.exchanged(classes.select("fp").mapInArrow(_replicas(n, bits, blocks), c.PACKED), n).mapInArrow(_compare(bits), "a long, b long")
-    roots = components(links)
-    # Classes without links, which are most, stay out of the join's large side only by being absent from roots.
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = c.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(words), "doc_id long, fp long"))
+    classes = c.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
+    total = classes.count()
+    # Few bytes mean many replicas, so tasks are set here rather than merged by size.
+    homes = classes.select("fp").repartition(n, "fp").mapInArrow(_replicas(n, bits, blocks or chosen_blocks(total)), c.PACKED)
+    roots = components(c.exchanged(homes, n).mapInArrow(_compare(bits), "a long, b long"))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    label = c.joined(rooted, named, "root", total).select("fp", "component_id", F.col("rows").alias("n"))
+    out = c.joined(prints, label, "fp", prints.count())
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

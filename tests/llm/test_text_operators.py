@@ -71,6 +71,15 @@ def test_simhash(spark, docs, rows, empty):
     assert tuples(twice, "doc_id", "component_id") == sorted([(d, c) for d, _, c in got] * 2, key=repr)
 
 
+def test_simhash_with_other_blocks_and_null_ids(spark, rows):
+    """Any number of blocks gives the same groups; rows of a null doc_id come back and link, but name nothing."""
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (None, "only here " * 9)], "doc_id long, text string")
+    want = tuples(simhash.near_groups(docs), "doc_id", "fingerprint", "component_id")
+    assert simhash.chosen_blocks(10**7) == 3 and simhash.chosen_blocks(10**9) == 2
+    assert tuples(simhash.near_groups(docs, blocks=2), "doc_id", "fingerprint", "component_id") == want
+    assert sorted(x for x in want if x[0] is not None) == sorted(simhash.brute_force(rows)) and sum(x[0] is None for x in want) == 2
+
+
 def test_covering_finds_all_near_pairs():
     r = np.random.default_rng(5)
     for shift, width in simhash.block_plan(3):
