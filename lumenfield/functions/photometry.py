@@ -25,16 +25,14 @@ def disc_fraction(horizon: Column, azimuth: Column, elevation: Column) -> Column
     """
     start = (azimuth - HALF - 0.125) * 4
     first = F.when(start < 0, F.ceil(start)).otherwise(F.floor(start)).cast("int")
-    columns = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("c")) for k, v in enumerate(half_disc())])
-
-    def seen(total: Column, d: Column) -> Column:
-        g = start - first + d["k"] * (HALF / 2)
+    base = (first + BINS) % BINS
+    total = F.lit(0.0)
+    for k, c in enumerate(half_disc()):  # written out, so that all of it is compiled and what columns share is computed once
+        g = start - first + k * (HALF / 2)
         o = F.greatest(F.lit(0), F.floor(g).cast("int"))
-        left = (first + BINS) % BINS + o
-        a, b = F.get(horizon, left % BINS), F.get(horizon, (left + 1) % BINS)
-        return total + F.greatest(F.lit(0.0), F.least(2 * d["c"], elevation + d["c"] - (a + (g - o) * (b - a))))
-
-    return F.aggregate(columns, F.lit(0.0), seen) / (2 * sum(half_disc()))
+        a, b = F.get(horizon, (base + o) % BINS), F.get(horizon, (base + o + 1) % BINS)
+        total = total + F.greatest(F.lit(0.0), F.least(F.lit(2 * c), elevation + c - (a + (g - o) * (b - a))))
+    return total / (2 * sum(half_disc()))
 
 
 def segment_fraction(horizon_deg: Column, elevation: Column, radius: float = 0.25) -> Column:

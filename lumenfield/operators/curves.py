@@ -14,9 +14,18 @@ def time_grid(spark, start: str, stop: str, step: str) -> DataFrame:
 
 
 def dense(samples: DataFrame, steps: int, fill: float = 0.0) -> DataFrame:
-    """pid, i, v for all steps of each pid: the few steps of a pid are exploded from its own row, not cross-joined."""
-    have = samples.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-    return have.select("pid", "m", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i")).select("pid", "i", F.coalesce(F.try_element_at("m", F.col("i")), F.lit(fill)).alias("v"))
+    """pid, i, v for all steps of each pid: the few samples of a pid become one array, with no join and no lookup by step.
+
+    Of samples that repeat (pid, i) the largest v counts; those of a null i, or outside 0 to steps - 1, are left out,
+    but their pid still comes back. A null v is ``fill``.
+    """
+    here = F.when(F.col("i").between(0, steps - 1), F.struct("i", F.coalesce("v", F.lit(fill)).alias("v")))
+    have = samples.groupBy("pid").agg(F.sort_array(F.collect_list(here)).alias("s"))
+    have = have.withColumn("s", F.filter("s", lambda x, k: F.coalesce(F.get("s", k + 1)["i"] != x["i"], F.lit(True))))
+    gap = lambda n: F.array_repeat(F.lit(fill), n.cast("int"))
+    first = gap(F.coalesce(F.get("s", F.lit(0))["i"], F.lit(steps)))
+    rest = F.transform("s", lambda x, k: F.concat(F.array(x["v"]), gap(F.coalesce(F.get("s", k + 1)["i"], F.lit(steps)) - x["i"] - 1)))
+    return have.select("pid", F.posexplode(F.flatten(F.concat(F.array(first), rest))).alias("i", "v"))
 
 
 def summary(curve: DataFrame, threshold: float, step_hours: float) -> DataFrame:

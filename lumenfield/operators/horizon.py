@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lumenfield.functions import geometry as geo
+
 
 def ring(ids: DataFrame, radius: int, columns: int, rows: int) -> DataFrame:
     """x, y and the neighbours nx, ny at this Chebyshev distance inside the grid of tiles."""
@@ -35,6 +37,43 @@ def horizon(targets: DataFrame, casters: DataFrame, tile: int, reach: int, bins:
     return both.groupBy("tline", "tsample", bin_.alias("bin")).agg(F.max(F.col("rise") / F.col("d")).alias("slope"))
 
 
+def local_horizon(targets: DataFrame, casters: DataFrame, tile: int, reach: int, bins: int = geo.BINS, observer_m: float = 0.0, pole: geo.Pole = geo.Pole()) -> DataFrame:
+    """tline, tsample, bin, slope: like horizon(), in each target's own frame on the curved body.
+
+    Both need line, sample, h in metres. A caster's point is taken into the target's frame; its bin is that of its azimuth there, and its
+    slope that of its height over the observer to its distance in the frame's plane. Body points are made once for each row, before
+    targets are sent to the tiles around them. Rows of a null line, sample or h meet nothing.
+    """
+
+    def placed(d: DataFrame, key: str) -> DataFrame:
+        lat, lon = geo.lat_lon(F.col("line"), F.col("sample"), pole)
+        d = d.select(F.col("line").alias(f"{key}line"), F.col("sample").alias(f"{key}sample"), "h", lat.alias(f"{key}lat"), lon.alias(f"{key}lon")).where("h is not null")
+        point = geo.body_point(F.col(f"{key}lat"), F.col(f"{key}lon"), F.col("h"))
+        return d.select("*", *[p.alias(f"{key}{n}") for p, n in zip(point, "xyz", strict=True)]).drop("h")
+
+    near = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    t = placed(targets, "t").withColumn("a", near).withColumn("b", near)
+    t = t.withColumns({"tilex": F.floor(F.col("tsample") / tile) + F.col("a"), "tiley": F.floor(F.col("tline") / tile) + F.col("b")}).drop("a", "b")
+    t = t.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tilex", "tiley")
+    c = placed(casters, "c").withColumns({"tilex": F.floor(F.col("csample") / tile), "tiley": F.floor(F.col("cline") / tile)})
+    both = t.join(c.select("cline", "csample", "cx", "cy", "cz", "tilex", "tiley"), ["tilex", "tiley"]).where("tline <> cline or tsample <> csample")
+    x, y, z = geo.local_frame(F.col("cx"), F.col("cy"), F.col("cz"), (F.col("tx"), F.col("ty"), F.col("tz")), F.col("tlat"), F.col("tlon"))
+    both = both.select("tline", "tsample", x.alias("x"), y.alias("y"), z.alias("z"))
+    azimuth, _ = geo.az_el(F.col("x"), F.col("y"), F.col("z"))
+    bin_ = F.floor(0.5 + azimuth * ((bins - 1) / (2 * math.pi))).cast("int")
+    slope = (F.col("z") - observer_m / 1000) / F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    return both.groupBy("tline", "tsample", bin_.alias("bin")).agg(F.max(slope).alias("slope"))
+
+
+#: Fixed value: seconds that one node of the far field takes.
+NODE_SECONDS = 0.1625
+
+
+def work(targets: DataFrame, **how) -> DataFrame:
+    """nodes, seconds: the far-field nodes of a queue of target tiles, and the time that they are reckoned to take."""
+    return far_nodes(targets, **how).agg(F.count("*").alias("nodes")).select("nodes", (F.col("nodes") * NODE_SECONDS).alias("seconds"))
+
+
 def merged(a: Column, b: Column) -> Column:
     """The larger of two horizon arrays, element by element: the merge of partial horizons, in any order."""
     return F.zip_with(a, b, lambda x, y: F.greatest(x, y))

@@ -21,6 +21,13 @@ def longest(series: DataFrame) -> DataFrame:
     return runs(series).groupBy("pid").agg(F.coalesce(dark, F.max("n")).alias("longest_night_1"), F.coalesce(dark, F.lit(0)).alias("longest_night_2"), F.coalesce(lit, F.lit(-1)).alias("full_sun_steps"))
 
 
+def longest_nights(curve: DataFrame, thresholds: list[float], value: str = "v") -> DataFrame:
+    """pid, band, longest_night: longest() of each threshold, whose place in the list is its band, in one pass over the curve."""
+    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.lit(float(t)).alias("t")) for k, t in enumerate(thresholds)]))
+    series = curve.select("pid", "i", value, bands.alias("b")).select(F.struct("pid", "b.band").alias("pid"), "i", (F.col(value) >= F.col("b.t")).alias("lit"))
+    return longest(series).select("pid.pid", "pid.band", F.col("longest_night_1").alias("longest_night"))
+
+
 def shadow_with_recharge(lit: Column, recharge: int = 12) -> Column:
     """Most dark steps that gather in an array of booleans, where so many lit ones in a row reset them."""
     state = lambda cs, sh, mx: F.struct(cs.cast("int").alias("cs"), sh.cast("int").alias("sh"), mx.cast("int").alias("mx"))

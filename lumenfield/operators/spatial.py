@@ -12,9 +12,12 @@ def nearest(points: DataFrame, samples: DataFrame, cell: float) -> DataFrame:
 
     Points need pid, px, py; samples sid, sx, sy. Points look into the 3 x 3 cells around their own; a best
     one within a cell's width can't be beaten from beyond. The few others look again with cells twice as wide,
-    until none is left; a round's rows are checkpointed. Without samples no point has one.
+    until none is left; a round's rows are checkpointed. Points and samples of a null, NaN or infinite coordinate are left out;
+    without samples no point has one.
     """
-    left, out, size = points.select("pid", "px", "py").where("pid is not null and px is not null and py is not null"), None, cell
+    real = lambda *names: " and ".join(f"{n} is not null and not isnan({n}) and abs({n}) < double('infinity')" for n in names)
+    left, out, size = points.select("pid", "px", "py").where("pid is not null").where(real("px", "py")), None, cell
+    samples = checkpointed(samples.select("sid", "sx", "sy").where("sid is not null").where(real("sx", "sy")))
     if samples.isEmpty():
         return left.select("pid", F.lit(None).cast("long").alias("sid"), F.lit(0.0).alias("d2")).where("false")
     while True:

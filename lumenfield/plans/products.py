@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenfield.functions import geometry as geo
 from lumenfield.functions import palettes, vectors as vec
-from lumenfield.operators import curves, horizon, mesh, raster, runs, sampling, spatial
+from lumenfield.operators import curves, horizon, mesh, raster, rays, runs, sampling, spatial
 from lumenfield.plans.queries import _DISC, _PTS, _points, query
 from lumenfield.plans.stand_ins import CURVE, GRID, LEVELS, RUNS, SIDE, curve, grid, levels, lit, table
 from lumenfield.sources import sites
@@ -32,6 +32,79 @@ def surface_light(spark, sf):
     return g.select("line", "sample", *[F.round(x, 9).alias(x) for x in ("nx", "ny", "nz")], F.round(sun, 9).alias("light"))
 
 
+#: Pixels some 110 km from the pole with heights in metres, and their body points: line, sample, h, x, y, z, lat, lon.
+_POLE = f"""{GRID}, cells as (select line + 10000 as line, sample + 13001 as sample, h * 20 as h from grid),
+plane as (select *, (sample - 15199.5e0) * 0.02e0 as px, (15199.5e0 - line) * 0.02e0 as py from cells),
+away as (select *, 2e0 * atan2(sqrt(px * px + py * py), 3474.8e0) as c, sqrt(px * px + py * py) as p from plane),
+turned as (select line, sample, h, asin(cos(c) * sin(-pi() / 2) + py * sin(c) * cos(-pi() / 2) / p) as lat, atan2(px, py) as lon, h / 1000 + 1737.4e0 as r from away),
+pts as (select line, sample, h, lat, lon, r * cos(lat) * cos(lon) as x, r * cos(lat) * sin(lon) as y, r * sin(lat) as z from turned)"""
+
+
+def _pole(spark, sf):
+    return grid(spark, sf).select((F.col("line") + 10000).alias("line"), (F.col("sample") + 13001).alias("sample"), (F.col("h") * 20).alias("h"))
+
+
+def _mixed(name: str, to: str) -> str:
+    """SQL of a value between four cells."""
+    first, second = f"(a.{name} + (cl - yl) * (b.{name} - a.{name}))", f"(c.{name} + (cl - yl) * (d.{name} - c.{name}))"
+    return f"{first} + (cs - xs) * ({second} - {first}) as {to}"
+
+
+_CORNERS = "join {0} a on a.line = yl and a.sample = xs join {0} b on b.line = yl + 1 and b.sample = xs join {0} c on c.line = yl and c.sample = xs + 1 join {0} d on d.line = yl + 1 and d.sample = xs + 1"
+_RAYS, _FAR, _OBSERVER = 47, 6.0, 2.0
+
+
+@query(f"""with {_POLE}, ray as (select cast(range as int) as k, 2e0 * pi() * range / {_RAYS} as a from range({_RAYS})), stp as (select 1e0 + range * 0.5e0 as dist from range({int((_FAR - 1) / 0.5) + 1})),
+seen as (select t.line as tl, t.sample as ts, t.x as tx, t.y as ty, t.z as tz, t.lat as tlat, t.lon as tlon, ray.k, dist, t.line + sin(ray.a) * dist as cl, t.sample + cos(ray.a) * dist as cs from pts t cross join ray cross join stp),
+spot as (select *, cast(floor(cl) as int) as yl, cast(floor(cs) as int) as xs from seen),
+hit as (select tl, ts, tx, ty, tz, tlat, tlon, k, dist, {_mixed("x", "gx")}, {_mixed("y", "gy")}, {_mixed("z", "gz")} from spot {_CORNERS.format("pts")}),
+moved as (select *, (gx - tx) * cos(tlon) + (gy - ty) * sin(tlon) as e, (gy - ty) * cos(tlon) - (gx - tx) * sin(tlon) as ly, gz - tz as dz from hit),
+loc as (select tl, ts, k, dist, e * sin(tlat) - dz * cos(tlat) as lx, ly, e * cos(tlat) + dz * sin(tlat) as lz from moved),
+dirs as (select tl, ts, k, cast(floor(0.5e0 + (atan2(ly, lx) + pi()) * (1439 / (2e0 * pi()))) as int) as bin from loc where dist = 1)
+select tl as line, ts as sample, bin, round(max((lz - {_OBSERVER} / 1000) / sqrt(lx * lx + ly * ly)), 6) as slope from loc join dirs using (tl, ts, k) group by 1, 2, 3""")
+def near_horizon_rays(spark, sf):
+    g = _pole(spark, sf)
+    out = rays.near_horizons(g, g, far=_FAR, step=0.5, rays=_RAYS, observer_m=_OBSERVER)
+    each = out.select("line", "sample", F.explode(F.arrays_zip("bins", "slopes")).alias("x"))
+    return each.select("line", "sample", F.col("x.bins").alias("bin"), F.round("x.slopes", 6).alias("slope"))
+
+
+_RISE, _RANGES = 24, (1.0, 2.0, 4.0, 8.0)
+
+
+@query(f"""with {_POLE}, ray as (select range as k, 2e0 * pi() * range / {_RISE} as a, -0.02e0 + 0.002e0 * range as slope from range({_RISE})), rng(dist) as (values {", ".join(f"({x}::double)" for x in _RANGES)}),
+seen as (select t.line as tl, t.sample as ts, t.x as tx, t.y as ty, t.z as tz, slope, t.line + sin(ray.a) * dist as cl, t.sample + cos(ray.a) * dist as cs from pts t cross join ray cross join rng),
+spot as (select *, cast(floor(cl) as int) as yl, cast(floor(cs) as int) as xs from seen),
+hit as (select tl, ts, tx, ty, tz, slope, (cs - 15199.5e0) * 0.02e0 as px, (15199.5e0 - cl) * 0.02e0 as py, {_mixed("h", "h")} from spot {_CORNERS.format("pts")}),
+dist as (select *, sqrt(px * px + py * py) as p from hit), ang as (select *, 2e0 * atan2(p, 3474.8e0) as c, h / 1000 + 1737.4e0 as r from dist),
+sph as (select *, asin(cos(c) * sin(-pi() / 2) + case when py = 0 then 0 else py * sin(c) * cos(-pi() / 2) / p end) as lat, atan2(px, py) as lon from ang),
+far as (select tl, ts, slope, tz, r * sin(lat) as z, sqrt(pow(r * cos(lat) * cos(lon) - tx, 2) + pow(r * cos(lat) * sin(lon) - ty, 2)) as d from sph)
+select p.line, p.sample, round(max(1000 * (-far.z - slope * d + tz)), 3) as rise from pts p left join far on tl = p.line and ts = p.sample group by 1, 2""")
+def rise_height(spark, sf):
+    g = _pole(spark, sf)
+    return rays.rise_heights(g, g, [-0.02 + 0.002 * k for k in range(_RISE)], list(_RANGES)).withColumn("rise", F.round("rise", 3))
+
+
+@query(f"""with {_POLE}, met as (select t.line as tline, t.sample as tsample, t.lat, t.lon, c.x - t.x as dx, c.y - t.y as dy, c.z - t.z as dz from pts t join pts c on abs(c.line // 8 - t.line // 8) <= 1 and abs(c.sample // 8 - t.sample // 8) <= 1 and (c.line <> t.line or c.sample <> t.sample)),
+turn as (select *, dx * cos(lon) + dy * sin(lon) as e, dy * cos(lon) - dx * sin(lon) as ly from met),
+loc as (select tline, tsample, e * sin(lat) - dz * cos(lat) as lx, ly, e * cos(lat) + dz * sin(lat) as lz from turn)
+select tline, tsample, cast(floor(0.5e0 + (atan2(ly, lx) + pi()) * (359 / (2e0 * pi()))) as int) as bin, round(max((lz - {_OBSERVER} / 1000) / sqrt(lx * lx + ly * ly)), 5) as slope from loc group by 1, 2, 3""")
+def local_frame_horizons(spark, sf):
+    g = _pole(spark, sf)
+    return horizon.local_horizon(g, g, tile=8, reach=1, bins=360, observer_m=_OBSERVER).withColumn("slope", F.round("slope", 5))
+
+
+_NIGHTS = (100.0, 250.0, 400.0)
+
+
+@query(f"""with {CURVE()}, b(band, t) as (values {", ".join(f"({k}, {t}::double)" for k, t in enumerate(_NIGHTS))}), s as (select pid, band, i, v >= t as lit from curve cross join b),
+e as (select *, case when lag(lit) over w is distinct from lit then 1 else 0 end as chg, count(*) over (partition by pid, band) as n from s window w as (partition by pid, band order by i)),
+g as (select *, sum(chg) over (partition by pid, band order by i) as isl from e), r as (select pid, band, isl, n, lit, max(i) + 1 as stop, count(*) as len from g group by all)
+select pid, band, coalesce(max(case when not lit and stop < n then len end), max(n)) as longest_night from r group by 1, 2""")
+def longest_night_bands(spark, sf):
+    return runs.longest_nights(curve(spark, sf), list(_NIGHTS))
+
+
 _STEPS = 96
 
 

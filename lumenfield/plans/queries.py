@@ -410,6 +410,13 @@ def far_field_nodes(spark, sf):
     return horizon.far_nodes(t, root=32)
 
 
+@query(_quadtree(256).replace("select x, y, nx, ny, step from n where fine", "select count(*) as nodes, count(*) * 0.1625::double as seconds from n where fine"))
+def far_field_work(spark, sf):
+    k = F.col("s_suppkey")
+    t = table(spark, sf, "supplier").select((k % 16).cast("int").alias("x"), F.floor(k / 16 % 16).cast("int").alias("y")).distinct()
+    return horizon.work(t)
+
+
 @query(f"with {GRID}, c as (select a.line, a.sample from grid a join grid b on b.line = a.line + 4 and b.sample = a.sample join grid c on c.line = a.line and c.sample = a.sample + 4 join grid d on d.line = a.line + 4 and d.sample = a.sample + 4 where a.line % 4 = 0 and a.sample % 4 = 0) select line, sample, 2 as faces from c")
 def mesh_faces(spark, sf):
     return mesh.faces(mesh.vertices(grid(spark, sf), 4), 4).groupBy("line", "sample").agg(F.count("*").cast("int").alias("faces"))

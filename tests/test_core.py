@@ -195,7 +195,7 @@ def test_image_places(spark):
     assert tuple(spark.range(1).select(line, sample, x).first()) == pytest.approx((15199.5 - 90, 15199.5 - 96, 7.0))
 
 
-def test_empty_tables(spark):
+def test_empty_grids(spark):
     g = spark.createDataFrame([], "line int, sample int, h double")
     assert sampling.bilinear(spark.createDataFrame([(1, 0.5, 0.5)], "pid long, py double, px double"), g).count() == 0
     assert sampling.test_points(g.withColumnRenamed("h", "r"), 8).count() == raster.neighbours(g).count() == 0
