@@ -79,7 +79,7 @@ def _by_tile(targets: DataFrame, cells: DataFrame, tile: int, margin: int, kerne
     def run(mine: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
         names = [x.split()[0] for x in schema.split(", ")]
         if mine.empty or ground.empty:
-            return pd.DataFrame({x: [] for x in names})
+            return pd.DataFrame({x: pd.Series([], dtype=object) for x in names})
         return kernel(mine.rename(columns={y: x for x, y in mine_as.items()}), ground)
 
     return t.groupBy("t_y", "t_x").cogroup(around.groupBy("ty", "tx")).applyInPandas(run, schema)
@@ -124,7 +124,7 @@ def near_horizons(targets: DataFrame, cells: DataFrame, far: float, step: float,
                 has = np.flatnonzero(highest[i] > -np.inf)
                 for name, v in zip(out, (int(tl[i, 0]), int(ts[i, 0]), has.tolist(), highest[i, has].tolist()), strict=True):
                     out[name].append(v)
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)
 
     return _by_tile(targets.select("line", "sample", "h"), cells.select("line", "sample", "h"), tile, math.ceil(far) + 1, kernel, "line int, sample int, bins array<int>, slopes array<double>")
 

@@ -88,10 +88,10 @@ def rise_height(spark, sf):
 @query(f"""with {_POLE}, met as (select t.line as tline, t.sample as tsample, t.lat, t.lon, c.x - t.x as dx, c.y - t.y as dy, c.z - t.z as dz from pts t join pts c on abs(c.line // 8 - t.line // 8) <= 1 and abs(c.sample // 8 - t.sample // 8) <= 1 and (c.line <> t.line or c.sample <> t.sample)),
 turn as (select *, dx * cos(lon) + dy * sin(lon) as e, dy * cos(lon) - dx * sin(lon) as ly from met),
 loc as (select tline, tsample, e * sin(lat) - dz * cos(lat) as lx, ly, e * cos(lat) + dz * sin(lat) as lz from turn)
-select tline, tsample, cast(floor(0.5e0 + (atan2(ly, lx) + pi()) * (359 / (2e0 * pi()))) as int) as bin, round(max((lz - {_OBSERVER} / 1000) / sqrt(lx * lx + ly * ly)), 5) as slope from loc group by 1, 2, 3""")
+select tline, tsample, cast(floor(0.5e0 + (atan2(ly, lx) + pi()) * (359 / (2e0 * pi()))) as int) as bin, round(max((lz - {_OBSERVER} / 1000) / sqrt(lx * lx + ly * ly)), 3) as slope from loc group by 1, 2, 3""")
 def local_frame_horizons(spark, sf):
     g = _pole(spark, sf)
-    return horizon.local_horizon(g, g, tile=8, reach=1, bins=360, observer_m=_OBSERVER).withColumn("slope", F.round("slope", 5))
+    return horizon.local_horizon(g, g, tile=8, reach=1, bins=360, observer_m=_OBSERVER).withColumn("slope", F.round("slope", 3))
 
 
 _NIGHTS = (100.0, 250.0, 400.0)
