@@ -61,7 +61,7 @@ hit as (select tl, ts, tx, ty, tz, tlat, tlon, k, dist, {_mixed("x", "gx")}, {_m
 moved as (select *, (gx - tx) * cos(tlon) + (gy - ty) * sin(tlon) as e, (gy - ty) * cos(tlon) - (gx - tx) * sin(tlon) as ly, gz - tz as dz from hit),
 loc as (select tl, ts, k, dist, e * sin(tlat) - dz * cos(tlat) as lx, ly, e * cos(tlat) + dz * sin(tlat) as lz from moved),
 dirs as (select tl, ts, k, cast(floor(0.5e0 + (atan2(ly, lx) + pi()) * (1439 / (2e0 * pi()))) as int) as bin from loc where dist = 1)
-select tl as line, ts as sample, bin, round(max((lz - {_OBSERVER} / 1000) / sqrt(lx * lx + ly * ly)), 6) as slope from loc join dirs using (tl, ts, k) group by 1, 2, 3""")
+select tl as line, ts as sample, bin, round(max((lz - {_OBSERVER} / 1000) / sqrt(lx * lx + ly * ly)), 6) + 0e0 as slope from loc join dirs using (tl, ts, k) group by 1, 2, 3""")
 def near_horizon_rays(spark, sf):
     g = _pole(spark, sf)
     out = rays.near_horizons(g, g, far=_FAR, step=0.5, rays=_RAYS, observer_m=_OBSERVER)
@@ -79,7 +79,7 @@ hit as (select tl, ts, tx, ty, tz, slope, (cs - 15199.5e0) * 0.02e0 as px, (1519
 dist as (select *, sqrt(px * px + py * py) as p from hit), ang as (select *, 2e0 * atan2(p, 3474.8e0) as c, h / 1000 + 1737.4e0 as r from dist),
 sph as (select *, asin(cos(c) * sin(-pi() / 2) + case when py = 0 then 0 else py * sin(c) * cos(-pi() / 2) / p end) as lat, atan2(px, py) as lon from ang),
 far as (select tl, ts, slope, tz, r * sin(lat) as z, sqrt(pow(r * cos(lat) * cos(lon) - tx, 2) + pow(r * cos(lat) * sin(lon) - ty, 2)) as d from sph)
-select p.line, p.sample, round(max(1000 * (-far.z - slope * d + tz)), 3) as rise from pts p left join far on tl = p.line and ts = p.sample group by 1, 2""")
+select p.line, p.sample, round(max(1000 * (-far.z - slope * d + tz)), 3) + 0e0 as rise from pts p left join far on tl = p.line and ts = p.sample group by 1, 2""")
 def rise_height(spark, sf):
     g = _pole(spark, sf)
     return rays.rise_heights(g, g, [-0.02 + 0.002 * k for k in range(_RISE)], list(_RANGES)).withColumn("rise", F.round("rise", 3))
@@ -88,7 +88,7 @@ def rise_height(spark, sf):
 @query(f"""with {_POLE}, met as (select t.line as tline, t.sample as tsample, t.lat, t.lon, c.x - t.x as dx, c.y - t.y as dy, c.z - t.z as dz from pts t join pts c on abs(c.line // 8 - t.line // 8) <= 1 and abs(c.sample // 8 - t.sample // 8) <= 1 and (c.line <> t.line or c.sample <> t.sample)),
 turn as (select *, dx * cos(lon) + dy * sin(lon) as e, dy * cos(lon) - dx * sin(lon) as ly from met),
 loc as (select tline, tsample, e * sin(lat) - dz * cos(lat) as lx, ly, e * cos(lat) + dz * sin(lat) as lz from turn)
-select tline, tsample, cast(floor(0.5e0 + (atan2(ly, lx) + pi()) * (359 / (2e0 * pi()))) as int) as bin, round(max((lz - {_OBSERVER} / 1000) / sqrt(lx * lx + ly * ly)), 3) as slope from loc group by 1, 2, 3""")
+select tline, tsample, cast(floor(0.5e0 + (atan2(ly, lx) + pi()) * (359 / (2e0 * pi()))) as int) as bin, round(max((lz - {_OBSERVER} / 1000) / sqrt(lx * lx + ly * ly)), 3) + 0e0 as slope from loc group by 1, 2, 3""")
 def local_frame_horizons(spark, sf):
     g = _pole(spark, sf)
     return horizon.local_horizon(g, g, tile=8, reach=1, bins=360, observer_m=_OBSERVER).withColumn("slope", F.round("slope", 3))
