@@ -2,8 +2,9 @@
 
 What decides a packing is how many pieces there are of each length: 2048 numbers at most, whatever the
 corpus. On them, bin by bin, a bitset subset-sum finds the fullest combination with the longest piece
-left; it is used as often as its lengths last, and removed. Pieces are then numbered within their length
-(in salted buckets, so one frequent length is no hot key) and looked up in the table of combinations.
+left; it is used as often as its lengths last, and removed. Tasks number their pieces of each length, the
+numbers that tasks begin at follow from their counts, so no piece is sorted and a frequent length is no hot
+key; pieces are then looked up in the table of combinations.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lumenfield.llm import bytesx as bx
@@ -23,7 +26,6 @@ from lumenfield.llm import common as c
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0
-SALTS = 16
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 #: Words, and parts of words, in each generation of what a worker remembers; bytes of the longest one it remembers.
@@ -299,29 +301,40 @@ def _places(table: list[tuple[int, list[tuple[int, int]]]], names: list[str]):
     return run
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def _numbered(names: list[str]):
+    """The rows with the task's number, and each one's number among those of its length in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, met = TaskContext.get().partitionId(), Counter()
+        for b in batches:
+            length = b.column(b.schema.get_field_index("length")).to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(length, kind="stable")
+            sizes, first, each = np.unique(length[order], return_index=True, return_counts=True)
+            n = np.empty(len(length), np.int64)
+            n[order] = np.arange(len(length)) - np.repeat(first - np.array([met[x] for x in sizes.tolist()], np.int64), each)
+            met.update(dict(zip(sizes.tolist(), each.tolist(), strict=True)))
+            cols = [b.column(b.schema.get_field_index(x)) for x in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(n), part, np.int32)), pa.array(n)], names=[*names, "__part", "__n"])
+
+    return run
+
+
+def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset: sequences without gaps, of capacity at most, as few as the method finds.
 
-    ``pieces`` has length (1 to capacity), and keys that order pieces of one length; columns named
-    sequence_id and offset are replaced, all others kept. Pieces that tie in keys get any order among them.
-    No piece gives no sequence.
+    ``pieces`` has length (1 to capacity); columns named sequence_id and offset are replaced, all others kept.
+    Pieces of one length take their places in order of tasks, and of rows in a task. No piece gives no sequence.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    names, salted = pieces.columns, pieces.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-    salted = c.stored(salted)
-    by_salt = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
-    tallied = by_salt.collect()  # capacity * SALTS rows at most
-    counts: dict[int, int] = {}
-    begin = []
-    for r in sorted(tallied):
-        begin.append((r["length"], r["__salt"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
-    offsets = pieces.sparkSession.createDataFrame(begin, "length long, __salt int, __begin long")
-    ranked = salted.withColumn("__n", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*keys)))
-    ranked = ranked.join(F.broadcast(offsets), ["length", "__salt"]).withColumn("__rank", F.col("__begin") + F.col("__n") - 1)  # capacity * SALTS rows at most
-    ranked = ranked.select(*names, "__rank")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pieces.schema.fields) + "sequence_id long, offset long"
-    return ranked.mapInArrow(_places(combinations(counts, capacity), names), schema)
+    names, schema = pieces.columns, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pieces.schema.fields)
+    numbered = c.stored(pieces.mapInArrow(_numbered(names), schema + "__part int, __n long"))
+    sizes = c.stored(numbered.groupBy("length", "__part").agg(F.count("*").alias("n")))
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    begin = c.stored(sizes.select("length", "__part", F.coalesce(before, F.lit(0).cast("long")).alias("__begin")))
+    # A row for each length in each task: Spark broadcasts it if its files are small, and else shuffles by length and task.
+    ranked = numbered.join(begin, ["length", "__part"]).select(*names, (F.col("__begin") + F.col("__n")).alias("__rank"))
+    return ranked.mapInArrow(_places(combinations(counts, capacity), names), schema + "sequence_id long, offset long")
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:

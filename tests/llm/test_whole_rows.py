@@ -53,3 +53,23 @@ def test_pipeline_stages_keep_clean_rows_without_id(spark, tmp_path):
     out = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     assert tell(out) == sorted([(None, one), (None, two), (3, two), (4, three), (4, three)], key=repr)
+
+
+def test_packing_of_one_length_in_many_tasks(spark):
+    """Pieces of one length in several tasks, rows repeated: no place is given twice, and no gap is left."""
+    from lumenfield.llm import packing
+
+    lengths = [2048] * 60 + [5] * 41 + [700] * 30 + [2043] * 7
+    pieces = spark.createDataFrame([(k % 9 or None, n) for k, n in enumerate(lengths)], "doc_id long, length long").repartition(7)
+    rows = packing.packed(pieces).collect()
+    assert sorted(r["length"] for r in rows) == sorted(lengths)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in bins.values():
+        end = 0
+        for at, n in sorted(places):
+            assert at == end
+            end += n
+        assert end <= 2048
+    assert len(bins) == 60 + 7 + 15
