@@ -26,6 +26,8 @@ from lumenfield.llm import common as c
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0
+#: Rows of (length, task) that are broadcast at most, of some 100 bytes each.
+BEGINS = 200_000
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 #: Words, and parts of words, in each generation of what a worker remembers; bytes of the longest one it remembers.
@@ -319,11 +321,12 @@ def _numbered(names: list[str]):
     return run
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = CAPACITY, most: int = BEGINS) -> DataFrame:
     """pieces with sequence_id and offset: sequences without gaps, of capacity at most, as few as the method finds.
 
     ``pieces`` has length (1 to capacity); columns named sequence_id and offset are replaced, all others kept.
     Pieces of one length take their places in order of tasks, and of rows in a task. No piece gives no sequence.
+    Numbers of tasks are broadcast up to ``most`` rows, which changes no result.
     """
     pieces = pieces.drop("sequence_id", "offset")
     names, schema = pieces.columns, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pieces.schema.fields)
@@ -332,7 +335,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     before = F.sum("n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     begin = c.stored(sizes.select("length", "__part", F.coalesce(before, F.lit(0).cast("long")).alias("__begin")))
-    # A row for each length in each task: Spark broadcasts it if its files are small, and else shuffles by length and task.
+    # A row for each length in each task; beyond ``most`` of them both sides are shuffled by length and task.
+    begin = F.broadcast(begin) if begin.count() <= most else begin.hint("merge")
     ranked = numbered.join(begin, ["length", "__part"]).select(*names, (F.col("__begin") + F.col("__n")).alias("__rank"))
     return ranked.mapInArrow(_places(combinations(counts, capacity), names), schema + "sequence_id long, offset long")
 

@@ -61,15 +61,16 @@ def test_packing_of_one_length_in_many_tasks(spark):
 
     lengths = [2048] * 60 + [5] * 41 + [700] * 30 + [2043] * 7
     pieces = spark.createDataFrame([(k % 9 or None, n) for k, n in enumerate(lengths)], "doc_id long, length long").repartition(7)
-    rows = packing.packed(pieces).collect()
-    assert sorted(r["length"] for r in rows) == sorted(lengths)
-    bins = {}
-    for r in rows:
-        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for places in bins.values():
-        end = 0
-        for at, n in sorted(places):
-            assert at == end
-            end += n
-        assert end <= 2048
-    assert len(bins) == 60 + 7 + 15
+    for most in (packing.BEGINS, 3):  # broadcast, shuffled
+        rows = packing.packed(pieces, most=most).collect()
+        assert sorted(r["length"] for r in rows) == sorted(lengths)
+        bins = {}
+        for r in rows:
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for places in bins.values():
+            end = 0
+            for at, n in sorted(places):
+                assert at == end
+                end += n
+            assert end <= 2048
+        assert len(bins) == 60 + 7 + 15
