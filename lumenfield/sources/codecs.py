@@ -87,6 +87,8 @@ def encode_bits(cube: np.ndarray) -> bytes:
 def decode_ticks(data: bytes) -> Iterator[tuple]:
     """(line, sample, ticks) of a window."""
     left, top, width, height = struct.unpack_from("<4i", data)
+    if len(data) != 16 + 8 * width * height:
+        raise ValueError("a tick raster's length doesn't agree with its header")
     values = np.frombuffer(data, "<i8", width * height, 16).reshape(height, width)
     for r, q in np.ndindex(values.shape):
         yield top + r, left + q, int(values[r, q])
