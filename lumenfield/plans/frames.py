@@ -1,4 +1,4 @@
-"""Queries of conversions between frames, angles, images and screens."""
+"""Queries of conversions between frames, angles, images and screens, and of files made from rasters and read again."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lumenfield.functions import geometry as geo, photometry as ph, vectors as vec
 from lumenfield.plans.queries import query
-from lumenfield.plans.stand_ins import table
+from lumenfield.plans.stand_ins import GRID, grid, table
+from lumenfield.sources import codecs
 
 _P = "p as (select p_partkey as id, p_size + 1.0::double as x, p_partkey % 13 + 0.5::double as y, p_partkey % 7 - 3.0::double as z from part)"
 
@@ -59,3 +60,29 @@ def horizon_degrees(spark, sf):
     slopes = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.col("p_partkey") % 11 + k) / F.lit(8.0) - 0.5)
     out = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), ph.slopes_to_degrees(slopes).alias("horizon"))
     return out.withColumn("horizon", F.transform("horizon", lambda d: F.round(d, 6) + 0.0))
+
+
+_TILE = 16
+
+
+@query(f"""with {GRID}, g as (select line, sample, cast(floor(h * 1000) as bigint) * 1000000 as ticks from grid),
+t as (select line // {_TILE} as l, sample // {_TILE} as s, min(line) as l0, max(line) as l1, min(sample) as s0, max(sample) as s1 from g group by 1, 2),
+cells as (select unnest(range(l0, l1 + 1)) as line, s0, s1 from t), all_cells as (select line, unnest(range(s0, s1 + 1)) as sample from cells)
+select cast(a.line as int) as line, cast(a.sample as int) as sample, coalesce(ticks, 0) as ticks from all_cells a left join g on g.line = a.line and g.sample = a.sample""")
+def tick_round_trip(spark, sf):
+    cells = grid(spark, sf).select("line", "sample", (F.floor(F.col("h") * 1000) * 1_000_000).alias("ticks"))
+    return codecs.decoded(codecs.tick_files(cells, _TILE), "ticks").select("line", "sample", "ticks")
+
+
+_LEVELS = [1.0, 0.5, 0.25]
+
+
+@query(f"""with {GRID}, t as (select distinct line // {_TILE} as l, sample // {_TILE} as s from grid), b(band, threshold) as (values {", ".join(f"({k}, {x}::double)" for k, x in enumerate(_LEVELS))}),
+r as (select cast(range as int) as row from range({_TILE})), q as (select cast(range as int) as col from range({_TILE}))
+select cast(t.l * {_TILE} as int) as line, cast(t.s * {_TILE} as int) as sample, threshold, row, col, coalesce(floor(h) * (band + 1), 0e0) as hours
+from t cross join b cross join r cross join q left join grid on grid.line = t.l * {_TILE} + row and grid.sample = t.s * {_TILE} + col""")
+def band_round_trip(spark, sf):
+    bands = F.explode(F.sequence(F.lit(0), F.lit(len(_LEVELS) - 1))).alias("band")
+    cells = grid(spark, sf).select("line", "sample", "h", bands).select("line", "sample", "band", (F.floor("h") * (F.col("band") + 1)).cast("double").alias("hours"))
+    out = codecs.decoded(codecs.band_files(cells, _LEVELS, _TILE), "bands")
+    return out.select("line", "sample", F.col("threshold").cast("double").alias("threshold"), "row", "col", F.col("hours").cast("double").alias("hours"))

@@ -1,4 +1,4 @@
-"""Binary tiles and rasters as rows, read with Spark's binaryFile source and written as one value for each file.
+"""Binary tiles and rasters as rows: read with Spark's binaryFile source, made from rows as a table of files (path, content), one row for each tile.
 
 All numbers are little-endian. Readers yield rows in bounded batches; a file with a wrong length, header
 or marker raises ValueError, but the lighting cache ends at the first wrong marker.
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenfield.session import ship
 
@@ -131,9 +131,9 @@ FORMATS = {
 }
 
 
-def read(spark: SparkSession, path: str, form: str, batch: int = 2000, **options) -> DataFrame:
-    """Rows of all files under path in one of FORMATS, with the file's path; a file is one task's work."""
-    ship(spark)
+def decoded(files: DataFrame, form: str, batch: int = 2000, **options) -> DataFrame:
+    """Rows of files (path, content) in one of FORMATS, with the file's path; a file is one task's work."""
+    ship(files.sparkSession)
     decode, schema = FORMATS[form]
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -149,4 +149,65 @@ def read(spark: SparkSession, path: str, form: str, batch: int = 2000, **options
                 if some:
                     yield pd.DataFrame(some, columns=names).assign(path=file)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, f"{schema}, path string")
+    return files.select("path", "content").mapInPandas(rows, f"{schema}, path string")
+
+
+def read(spark: SparkSession, path: str, form: str, batch: int = 2000, **options) -> DataFrame:
+    """decoded() of all files under path."""
+    return decoded(spark.read.format("binaryFile").load(path), form, batch, **options)
+
+
+def _tiled(cells: DataFrame, value: str, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each cell once, the greatest value of those that repeat, with its tile's first line and sample (__l, __s)."""
+    cells = cells.where(" and ".join(f"{x} is not null" for x in ("line", "sample", *keys, value)))
+    cells = cells.groupBy(F.col("line").cast("int").alias("line"), F.col("sample").cast("int").alias("sample"), *keys).agg(F.max(value).alias("v"))
+    origin = lambda x: (F.floor(F.col(x) / size) * size).cast("int")
+    return cells.withColumns({"__l": origin("line"), "__s": origin("sample")})
+
+
+def tick_files(cells: DataFrame, size: int = 128) -> DataFrame:
+    """path, content: a tick raster for each tile of ``size`` that has any of the cells (line, sample, ticks).
+
+    A raster spans its tile's cells; cells missing in it are 0. Of repeated cells the greatest counts, and cells with a null none.
+    """
+    ship(cells.sparkSession)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(frame["line"].min()), int(frame["sample"].min())
+        out = np.zeros((int(frame["line"].max()) - top + 1, int(frame["sample"].max()) - left + 1), np.int64)
+        out[frame["line"].to_numpy() - top, frame["sample"].to_numpy() - left] = frame["v"].to_numpy()
+        return pd.DataFrame({"path": [f"ticks_{frame['__l'].iloc[0]:05d}_{frame['__s'].iloc[0]:05d}.bin"], "content": [encode_ticks(left, top, out)]})
+
+    return _tiled(cells, "ticks", size).groupBy("__l", "__s").applyInPandas(one, "path string, content binary")
+
+
+def band_files(cells: DataFrame, levels: list[float], size: int = 128) -> DataFrame:
+    """path, content: a band file for each tile of ``size`` that has any of the cells (line, sample, band, hours).
+
+    ``band`` is a place in levels, and others are left out. Missing, repeated and null cells as in tick_files().
+    """
+    ship(cells.sparkSession)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(frame["__l"].iloc[0]), int(frame["__s"].iloc[0])
+        out = np.zeros((len(levels), size, size), np.float32)
+        out[frame["band"].to_numpy(), frame["line"].to_numpy() - top, frame["sample"].to_numpy() - left] = frame["v"].to_numpy()
+        return pd.DataFrame({"path": [f"bands_{top:05d}_{left:05d}.bin"], "content": [encode_bands(top, left, levels, out)]})
+
+    return _tiled(cells.where(F.col("band").between(0, len(levels) - 1)), "hours", size, ("band",)).groupBy("__l", "__s").applyInPandas(one, "path string, content binary")
+
+
+def horizon_files(pixels: DataFrame, size: int = 128, step: int = 1, observer: int = 0) -> DataFrame:
+    """path, content: a horizon tile for each tile of ``size`` that has any of the pixels (line, sample, horizon of BINS values).
+
+    Pixels missing in a tile have horizons of 0. Of repeated pixels the greatest horizon counts, and pixels with a null none.
+    """
+    ship(pixels.sparkSession)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(frame["__l"].iloc[0]), int(frame["__s"].iloc[0])
+        out = np.zeros((size, size, BINS), np.float32)
+        out[frame["line"].to_numpy() - top, frame["sample"].to_numpy() - left] = np.stack(frame["v"].to_list())
+        return pd.DataFrame({"path": [tile_name(top, left, observer)], "content": [encode_tile(top, left, step, observer, out)]})
+
+    return _tiled(pixels, "horizon", size).groupBy("__l", "__s").applyInPandas(one, "path string, content binary")

@@ -143,6 +143,25 @@ def test_codecs(spark, tmp_path):
     assert list(codecs.decode_dem(np.array([2, -4], "<i2").tobytes(), 1, 2)) == [(0, 0, 1.0), (0, 1, -2.0)]
 
 
+def test_files_of_rows(spark):
+    cells = spark.createDataFrame([(1, 2, 5), (1, 2, 7), (3, 4, 9), (None, 1, 3), (20, 1, None), (17, 30, 1)], "line int, sample int, ticks long")
+    files = codecs.tick_files(cells, 16)
+    assert sorted(r["path"] for r in files.collect()) == ["ticks_00000_00000.bin", "ticks_00016_00016.bin"]
+    got = {(r["line"], r["sample"]): r["ticks"] for r in codecs.decoded(files, "ticks").collect()}
+    assert got == {(line, sample): 0 for line in (1, 2, 3) for sample in (2, 3, 4)} | {(1, 2): 7, (3, 4): 9, (17, 30): 1}
+    bands = spark.createDataFrame([(1, 2, 0, 5.0), (1, 2, 1, 6.0), (1, 2, 2, 8.0)], "line int, sample int, band int, hours double")
+    rows = codecs.decoded(codecs.band_files(bands, [1.0, 0.5], 4), "bands").collect()
+    assert len(rows) == 32 and {(r["threshold"], r["row"], r["col"], r["hours"]) for r in rows if r["hours"]} == {(1.0, 1, 2, 5.0), (0.5, 1, 2, 6.0)}
+    horizon = [k / 4 for k in range(codecs.BINS)]
+    tile = spark.createDataFrame([(130, 257, horizon)], "line int, sample int, horizon array<double>")
+    rows = codecs.decoded(codecs.horizon_files(tile, 2, observer=3), "tile").collect()
+    assert len(rows) == 4 and [(r["line"], r["sample"], r["observer"], r["horizon"]) for r in rows if any(r["horizon"])] == [(130, 256, 3, horizon)]
+    none = cells.where("false")
+    assert codecs.tick_files(none).count() == 0 and codecs.horizon_files(tile.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        list(codecs.decode_ticks(codecs.encode_ticks(0, 0, np.zeros((2, 2)))[:-8]))
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "q.json").write_text('[{"Line": 128, "Sample": 0}]')
     assert text.queue(spark, str(tmp_path / "q.json")).first()["Line"] == 128
