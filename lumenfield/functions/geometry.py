@@ -112,3 +112,9 @@ def to_map(screen: Column, offset: float, scale: float) -> Column:
 
 def to_screen(place: Column, offset: float, scale: float) -> Column:
     return place / scale + offset
+
+
+def ephemeris_seconds(time: Column, offset: int = 5, whole: bool = False) -> Column:
+    """Seconds from noon of 2000-01-01 with a fixed offset, of whole seconds if asked; the offsets in use are 5, 3, and 3 with whole seconds."""
+    us = F.unix_micros(time.cast("timestamp")) - F.unix_micros(F.lit("2000-01-01 12:00:00").cast("timestamp"))
+    return F.floor(us / 1_000_000) + float(offset) if whole else us / 1_000_000 + offset

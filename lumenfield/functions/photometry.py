@@ -87,3 +87,24 @@ def code_slope(code: Column) -> Column:
 def rgb565(v: Column) -> tuple[Column, Column, Column]:
     part = lambda shift, bits: F.shiftright(v, shift).bitwiseAND(F.lit((1 << bits) - 1)) * 255 / ((1 << bits) - 1)
     return tuple(F.floor(x).cast("int") for x in (part(11, 5), part(5, 6), part(0, 5)))
+
+
+def rgb555(v: Column) -> tuple[Column, Column, Column]:
+    part = lambda shift: F.shiftright(v, shift).bitwiseAND(F.lit(31)) * 255 / 31
+    return tuple(F.floor(part(shift)).cast("int") for shift in (10, 5, 0))
+
+
+def argb1555(v: Column) -> tuple[Column, Column, Column, Column]:
+    """rgb555 after the top bit's 0 or 255."""
+    return ((F.shiftright(v, 15).bitwiseAND(F.lit(1)) * 255).cast("int"), *rgb555(v))
+
+
+def nibbles(v: Column) -> tuple[Column, Column]:
+    """A byte's high and low four bits."""
+    return F.shiftright(v, 4).bitwiseAND(F.lit(15)).cast("int"), v.bitwiseAND(F.lit(15)).cast("int")
+
+
+def hsv_rgb(hue: Column, saturation: Column, value: Column) -> tuple[Column, Column, Column]:
+    """Red, green, blue in 0..1 of a hue in degrees, saturation and value in 0..1."""
+    part = lambda n: F.pmod(F.lit(float(n)) + hue / 60, F.lit(6.0))
+    return tuple(value - value * saturation * F.greatest(F.lit(0.0), F.least(part(n), 4 - part(n), F.lit(1.0))) for n in (5, 3, 1))

@@ -86,3 +86,23 @@ def band_round_trip(spark, sf):
     cells = grid(spark, sf).select("line", "sample", "h", bands).select("line", "sample", "band", (F.floor("h") * (F.col("band") + 1)).cast("double").alias("hours"))
     out = codecs.decoded(codecs.band_files(cells, _LEVELS, _TILE), "bands")
     return out.select("line", "sample", F.col("threshold").cast("double").alias("threshold"), "row", "col", F.col("hours").cast("double").alias("hours"))
+
+
+@query("""with u as (select p_partkey as id, (p_partkey * 7919) % 65536 as v, cast(p_partkey % 360 as double) as hue, (p_partkey % 5) / 4e0 as s, (p_partkey % 9) / 8e0 as val from part),
+k as (select *, fmod(5e0 + hue / 60, 6e0) as kr, fmod(3e0 + hue / 60, 6e0) as kg, fmod(1e0 + hue / 60, 6e0) as kb from u)
+select id, cast((v >> 15) & 1 as int) * 255 as a, cast(floor(((v >> 10) & 31) * 255 / 31e0) as int) as r, cast(floor(((v >> 5) & 31) * 255 / 31e0) as int) as g, cast(floor((v & 31) * 255 / 31e0) as int) as b,
+cast((v >> 4) & 15 as int) as high, cast(v & 15 as int) as low,
+round(val - val * s * greatest(0, least(kr, 4 - kr, 1)), 9) + 0e0 as hr, round(val - val * s * greatest(0, least(kg, 4 - kg, 1)), 9) + 0e0 as hg, round(val - val * s * greatest(0, least(kb, 4 - kb, 1)), 9) + 0e0 as hb from k""")
+def packed_colours(spark, sf):
+    k = F.col("p_partkey")
+    v = (k * 7919 % 65536).cast("int")
+    packed = zip(("a", "r", "g", "b", "high", "low"), (*ph.argb1555(v), *ph.nibbles(v)), strict=True)
+    hsv = zip(("hr", "hg", "hb"), ph.hsv_rgb((k % 360).cast("double"), k % 5 / 4.0, k % 9 / 8.0), strict=True)
+    return table(spark, sf, "part").select(k.alias("id"), *[x.alias(n) for n, x in packed], *[(F.round(x, 9) + 0.0).alias(n) for n, x in hsv])
+
+
+@query("""with t as (select event_id as id, (epoch_us(cast(ts as timestamp)) - epoch_us(timestamp '2000-01-01 12:00:00')) / 1e6 as s from events)
+select id, s + 5 as et5, s + 3 as et3, floor(s) + 3 as et_whole from t""")
+def ephemeris_variants(spark, sf):
+    t = F.col("ts")
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), geo.ephemeris_seconds(t).alias("et5"), geo.ephemeris_seconds(t, 3).alias("et3"), geo.ephemeris_seconds(t, 3, True).alias("et_whole"))
