@@ -13,7 +13,10 @@ its anchor, so equal strings have the same anchor at the same place. Four exchan
 4. what is to go meets the texts again.
 
 Hot strings: a bucket sends each distinct window once, so a passage in a third of all texts reaches
-its range from each bucket, not from each text.
+its range from each bucket, not from each text. Hot leads: where the bytes that lead a suffix are a
+partition's share of the sampled ones or more, their many different windows would be one task's class. Such
+anchors don't meet in the first exchange but always count as shared, and their windows are taken
+apart into strings, each of which goes by its own hash. The sample decides about places only.
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ U = np.uint64
 #: Fingerprint bits of an anchor that meet in the first exchange; windows are compared by bytes later.
 BITS = 40
 #: Kinds of packed rows.
-TEXT, SHARED, WINDOW, GONE = 0, 1, 2, 3
+TEXT, SHARED, WINDOW, GONE, STRING = 0, 1, 2, 3, 4
 #: Windows that a task merges and sends at once.
 WINDOWS = 1 << 16
 #: Texts sampled at most for the splitters, which decide about balance only.
 SPLITTER_TEXTS = 1000
+#: Times that leading bytes stand in the sample at least if they are hot; windows that are taken apart at once.
+HOT_LEADS, APART = 8, 1 << 13
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -84,7 +89,12 @@ def meeting(least: np.ndarray) -> np.ndarray:
     return bx.mixed(least) >> U(64 - BITS)
 
 
-def _anchor_rows(n: int, span: int, gram: int, flush: int = 1 << 19):
+def _hot(met: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which numbers of anchors are among the hot ones, which are in order."""
+    return hot[np.minimum(np.searchsorted(hot, met), len(hot) - 1)] == met if len(hot) else np.zeros(len(met), bool)
+
+
+def _anchor_rows(n: int, span: int, gram: int, hot: np.ndarray, flush: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             held, count = [], 0
@@ -93,8 +103,11 @@ def _anchor_rows(n: int, span: int, gram: int, flush: int = 1 << 19):
                 for first, buf, off in bx.chunks(*bx.flat(batch.column(1))):
                     _, least = minima(buf, off, span, gram)
                     start, _ = segments(least, off, 1 << 40)
+                    met = meeting(least[start])
+                    rest = ~_hot(met, hot)
+                    start, met = start[rest], met[rest]
                     doc = ids[first + np.searchsorted(off, start, "right") - 1]
-                    held.append((meeting(least[start]), doc))
+                    held.append((met, doc))
                     count += len(start)
                     if count >= flush:
                         yield from send(held)
@@ -207,26 +220,37 @@ def multikey_order(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     return order
 
 
-def _window_rows(n: int, span: int, gram: int, splitters: np.ndarray):
+def taken_apart(doc: np.ndarray, start: np.ndarray, count: np.ndarray, body: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, bytes) of each string of windows."""
+    w = np.repeat(np.arange(len(doc)), count)
+    o = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
+    return doc[w], start[w] + o, np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, span, axis=1)[w, o])
+
+
+def _window_rows(n: int, span: int, gram: int, splitters: np.ndarray, hot: np.ndarray, hot_met: np.ndarray):
     most = min(span - gram + 1, 32)
     wide = span + most - 1
 
     def one(bucket: int, items: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         text, shared = c.unpack_all(items, TEXT), c.unpack_all(items, SHARED)
-        if not shared or not text:
+        if not text or not (shared or len(hot_met)):
             return
         ids, size, buf = text["d"], text["n"], text["t"]
-        known, code = np.unique(shared["d"], return_inverse=True)
-        wanted = np.unique((code.astype(np.uint64) << U(BITS)) | shared["f"].astype(np.uint64))
+        if shared:
+            known, code = np.unique(shared["d"], return_inverse=True)
+            wanted = np.unique((code.astype(np.uint64) << U(BITS)) | shared["f"].astype(np.uint64))
         found, held = [], 0
         for first, part, off in bx.chunks(buf, np.append(0, np.cumsum(size))):
             h, least = minima(part, off, span, gram)
             start, count = segments(least, off, most)
             row = np.searchsorted(off, start, "right") - 1
             doc = ids[first + row]
-            at = np.minimum(np.searchsorted(known, doc), len(known) - 1)
-            key = (at.astype(np.uint64) << U(BITS)) | meeting(least[start])
-            hit = (known[at] == doc) & (wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
+            met = meeting(least[start])
+            hit = _hot(met, hot_met)
+            if shared:
+                at = np.minimum(np.searchsorted(known, doc), len(known) - 1)
+                key = (at.astype(np.uint64) << U(BITS)) | met
+                hit |= (known[at] == doc) & (wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
             start, count, doc, row = start[hit], count[hit], doc[hit], row[hit]
             if not len(start):
                 continue
@@ -256,10 +280,30 @@ def _window_rows(n: int, span: int, gram: int, splitters: np.ndarray):
             yield bucket, GONE, c.pack(d=doc[later], s=start[later].astype(np.int32), m=(U(1) << count[later].astype(np.uint64)) - U(1))
         doc, start, count, lead, body = doc[~later], start[~later], count[~later], lead[~later], body[~later]
         grams = np.ascontiguousarray(np.take_along_axis(body, lead[:, None] + np.arange(gram)[None, :], 1)).view(f"S{gram}")[:, 0]
+        apart = np.isin(grams, hot)
+        for k in range(0, int(apart.sum()), APART):
+            i = np.flatnonzero(apart)[k : k + APART]
+            yield from strings(bucket, *taken_apart(doc[i], start[i], count[i], body[i], span))
+        doc, start, count, lead, body, grams = (x[~apart] for x in (doc, start, count, lead, body, grams))
         used = np.arange(wide)[None, :] < (count + span - 1)[:, None]
         for b, i in c.split_by(np.searchsorted(splitters, grams, "right"), len(splitters) + 1):
             yield b, WINDOW, c.pack(d=doc[i], s=start[i].astype(np.int32), c=count[i].astype(np.uint8), l=lead[i].astype(np.uint8), b=body[i][used[i]])
 
+    def strings(bucket: int, doc: np.ndarray, start: np.ndarray, body: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """Each distinct string once, with the least document that has it here and all its places there; in others it goes."""
+        cls, best = merged(body, np.zeros(len(doc), np.int64), doc)
+        later = doc > doc[best][cls]
+        if later.any():
+            yield bucket, GONE, c.pack(d=doc[later], s=start[later].astype(np.int32), m=np.ones(int(later.sum()), np.uint64))
+        start, cls = start[~later], cls[~later]
+        places, times = start[np.argsort(cls, kind="stable")].astype(np.int32), np.bincount(cls, minlength=len(best))
+        first = np.cumsum(times) - times
+        at = np.arange(len(best), dtype=np.int64) * span
+        hashes = bx.run_hashes(body[best].ravel(), at, at + span)
+        for b, i in c.split_by(c.bucket_of(hashes, n), n):
+            each = np.repeat(first[i], times[i]) + np.arange(int(times[i].sum())) - np.repeat(np.cumsum(times[i]) - times[i], times[i])
+            yield b, STRING, c.pack(d=doc[best[i]], k=times[i].astype(np.int32), s=places[each], b=body[best[i]].ravel())
+
     return c.by_bucket(one)
 
 
@@ -270,6 +314,12 @@ def _resolve_rows(n: int, span: int, gram: int):
     def one(bucket: int, items: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         gone = [(k, p) for k, p in items if k == GONE]
         yield from c.packed_rows((bucket, k, p) for k, p in gone)
+        x = c.unpack_all(items, STRING)
+        if x:
+            cls, best = merged(x["b"].reshape(-1, span), np.zeros(len(x["d"]), np.int64), x["d"])
+            later = np.repeat(x["d"] > x["d"][best][cls], x["k"])
+            d, s = np.repeat(x["d"], x["k"])[later], x["s"][later]
+            yield from c.packed_rows((b, GONE, c.pack(d=d[i], s=s[i], m=np.ones(len(i), np.uint64))) for b, i in c.split_by(c.bucket_of(d, n), n))
         x = c.unpack_all(items, WINDOW)
         if not x:
             return
@@ -381,13 +431,21 @@ def _splitter_keys(span: int, gram: int):
     return run
 
 
-def splitters(docs: DataFrame, n: int, span: int, gram: int) -> np.ndarray:
-    """n - 1 splitters at most, from the leading bytes of suffixes in a bounded sample of texts."""
+def splitters(docs: DataFrame, n: int, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """n - 1 splitters and n hot ones at most, from the leading bytes of suffixes in a bounded sample of texts."""
     share = min(1.0, SPLITTER_TEXTS / max(1, docs.count()))
     pick = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.length("text") <= 50_000)).select("text")
     rows = pick.mapInArrow(_splitter_keys(span, gram), "lead binary").collect()
     leads = np.sort(np.array([bytes(r[0]) for r in rows], f"S{gram}"))
-    return np.unique(leads[np.linspace(0, len(leads) - 1, n + 1).astype(int)[1:-1]]) if len(leads) > n else np.unique(leads)[: n - 1]
+    each, times = np.unique(leads, return_counts=True)
+    hot = each[(times >= HOT_LEADS) & (times * n > len(leads))]
+    return np.unique(leads[np.linspace(0, len(leads) - 1, n + 1).astype(int)[1:-1]]) if len(leads) > n else each[: n - 1], hot
+
+
+def met_by(leads: np.ndarray, gram: int) -> np.ndarray:
+    """The numbers under which the anchors of these leading bytes meet, in order."""
+    buf = np.frombuffer(leads.astype(f"S{gram}").tobytes(), np.uint8)
+    return np.unique(meeting(bx.gram_hashes(buf, gram)[::gram])) if len(leads) else np.zeros(0, np.uint64)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int | None]:
@@ -420,10 +478,11 @@ def remove_repeats(docs: DataFrame, span: int = 50, gram: int = 20, drop_text: b
     n = c.partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs, last = numbered(docs)
-    cuts = splitters(docs, n, span, gram)
+    cuts, hot = splitters(docs, n, span, gram)
+    hot_met = met_by(hot, gram)
     texts = docs.mapInArrow(_text_rows(n), c.PACKED)
-    shared = c.exchanged(docs.mapInArrow(_anchor_rows(n, span, gram), c.PACKED), n).mapInArrow(_shared_rows(n), c.PACKED)
-    windows = c.exchanged(texts.unionAll(shared), n).mapInArrow(_window_rows(n, span, gram, cuts), c.PACKED)
+    shared = c.exchanged(docs.mapInArrow(_anchor_rows(n, span, gram, hot_met), c.PACKED), n).mapInArrow(_shared_rows(n), c.PACKED)
+    windows = c.exchanged(texts.unionAll(shared), n).mapInArrow(_window_rows(n, span, gram, cuts, hot, hot_met), c.PACKED)
     gone = c.exchanged(windows, n).mapInArrow(_resolve_rows(n, span, gram), c.PACKED)
     out = c.exchanged(texts.unionAll(gone), n).mapInArrow(_final_rows(span), RESULT)
     return out if last is None else out.withColumn("doc_id", F.when(F.col("doc_id") <= last, F.col("doc_id")))

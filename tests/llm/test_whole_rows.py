@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenfield.llm import decontaminate, substrings
+from lumenfield.llm import bytesx, common, decontaminate, substrings
 
 
 @pytest.mark.parametrize("size", [1 << 18, 300, 60])
@@ -74,3 +76,61 @@ def test_packing_of_one_length_in_many_tasks(spark):
                 end += n
             assert end <= 2048
         assert len(bins) == 60 + 7 + 15
+
+
+def anchoring_phrase(r: random.Random) -> str:
+    """20 letters whose hash is the least of 5,000, so that they are the anchor of most strings they stand in."""
+    some = ["".join(r.choice("ABCDEFGH") for _ in range(20)) for _ in range(5000)]
+    hashes = bytesx.gram_hashes(np.frombuffer("".join(some).encode(), np.uint8), 20)[::20]
+    return some[int(np.argmin(hashes))]
+
+
+def hot_phrase_rows(count: int, seed: int = 3) -> list[tuple[int, str | None]]:
+    """Texts that share a phrase of 20 bytes between neighbours of their own, some of which stand twice, also in one text; and runs of one letter."""
+    r = random.Random(seed)
+    word = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    phrase = anchoring_phrase(r)
+    sides = [(word(40), word(40)) for _ in range(count)]
+    rows = [(k, f"{a}{phrase}{b}") for k, (a, b) in enumerate(sides)]
+    rows += [(count + k, f"{word(9)}{sides[k][0]}{phrase}{sides[k + 1][1]}{word(5)}" * (1 + k % 2)) for k in range(0, count // 2, 3)]
+    return rows + [(-1, "z" * 300), (10**6, "y" + "z" * 170 + "x"), (10**6 + 1, None), (10**6 + 2, "")]
+
+
+@pytest.mark.parametrize("least", [1, 8, 1 << 30])
+def test_hot_leads_give_the_same_result(spark, monkeypatch, least):
+    """The bytes that go don't depend on which leads are hot: all (one is enough), those of the default, none."""
+    rows = hot_phrase_rows(150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(substrings, "HOT_LEADS", least)
+    if least == 1:
+        real = substrings.splitters
+        monkeypatch.setattr(substrings, "splitters", lambda *a: (lambda cuts, hot: (cuts, np.unique(np.append(cuts, hot))))(*real(*a)))
+    else:
+        assert (len(substrings.splitters(docs, 4, 50, 20)[1]) > 0) == (least == 8)
+    out = substrings.remove_repeats(docs).withColumn("sha", F.sha2("kept", 256)).select("doc_id", "n_bytes", "n_removed", "n_spans", "sha").collect()
+    assert sorted(map(tuple, out)) == sorted(substrings.brute_force(rows))
+    assert sum(x["n_removed"] for x in out) > 1000
+
+
+def test_a_hot_lead_is_not_one_buckets_class():
+    """Strings around a phrase that all texts share are dealt over all buckets, a few more in none than in others."""
+    n, span, gram = 16, 50, 20
+    r = random.Random(5)
+    phrase = anchoring_phrase(r).encode()
+    texts = [bytes(r.randrange(97, 123) for _ in range(40)) + phrase + bytes(r.randrange(97, 123) for _ in range(40)) for _ in range(2000)]
+    grams = np.array([phrase], f"S{gram}")
+    text = common.pack(d=np.arange(2000), n=np.array([len(t) for t in texts]), t=np.frombuffer(b"".join(texts), np.uint8))
+    rows = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([substrings.TEXT], pa.int32()), pa.array([text])], schema=common.PACKED_ARROW)
+
+    def strings(hot):
+        out = substrings._window_rows(n, span, gram, np.zeros(0, f"S{gram}"), hot, substrings.met_by(grams, gram))(iter([rows]))
+        sizes = {}
+        for batch in out:
+            for bucket, kind, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if kind in (substrings.STRING, substrings.WINDOW):
+                    sizes[bucket] = sizes.get(bucket, 0) + len(common.unpack(payload)["d"])
+        return sizes
+
+    assert len(strings(grams[:0])) == 1
+    dealt = strings(grams)
+    assert len(dealt) == n and max(dealt.values()) < 1.2 * min(dealt.values())
