@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenfield.session import ship
+from lumenfield.sources.dem import opened
 
 BINS = 1440
 MARKER = 0xAAAAAAAA
@@ -211,3 +214,63 @@ def horizon_files(pixels: DataFrame, size: int = 128, step: int = 1, observer: i
         return pd.DataFrame({"path": [tile_name(top, left, observer)], "content": [encode_tile(top, left, step, observer, out)]})
 
     return _tiled(pixels, "horizon", size).groupBy("__l", "__s").applyInPandas(one, "path string, content binary")
+
+
+def bit_files(cells: DataFrame, levels: int, size: int = 128) -> DataFrame:
+    """path, content: a bit cube for each tile of ``size``, a multiple of 8, that has any of the cells (line, sample, level, bit).
+
+    ``level`` is from 0 to levels - 1, and others are left out. Missing, repeated and null cells as in tick_files().
+    """
+    if size % 8:
+        raise ValueError("the width must be a multiple of 8")
+    ship(cells.sparkSession)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(frame["__l"].iloc[0]), int(frame["__s"].iloc[0])
+        out = np.zeros((levels, size, size), bool)
+        out[frame["level"].to_numpy(), frame["line"].to_numpy() - top, frame["sample"].to_numpy() - left] = frame["v"].to_numpy()
+        return pd.DataFrame({"path": [f"bits_{top:05d}_{left:05d}.bin"], "content": [encode_bits(out)]})
+
+    return _tiled(cells.where(F.col("level").between(0, levels - 1)), "bit", size, ("level",)).groupBy("__l", "__s").applyInPandas(one, "path string, content binary")
+
+
+_RECORD = ("x", "y", "depth", "stdev", "nx", "ny", "nz", "lighting")
+
+
+def cache_files(records: DataFrame, size: int = 128) -> DataFrame:
+    """path, content: a lighting cache for each tile of ``size`` with records (x, y, depth, stdev, nx, ny, nz, lighting), by y and x.
+
+    Repeated records all stay; those with a null in any of these columns are left out.
+    """
+    ship(records.sparkSession)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["y", "x", "depth"], kind="stable")
+        rows = list(frame[list(_RECORD)].itertuples(index=False, name=None))
+        return pd.DataFrame({"path": [f"cache_{frame['__l'].iloc[0]:05d}_{frame['__s'].iloc[0]:05d}.bin"], "content": [encode_cache(rows)]})
+
+    origin = lambda x: (F.floor(F.col(x) / size) * size).cast("int")
+    known = records.where(" and ".join(f"{x} is not null" for x in _RECORD)).select(*_RECORD).withColumns({"__l": origin("y"), "__s": origin("x")})
+    return known.groupBy("__l", "__s").applyInPandas(one, "path string, content binary")
+
+
+def write(files: DataFrame, folder: str) -> int:
+    """Write files (path, content) into a folder that all machines reach, each by the task that has it; returns their number.
+
+    A file is written under a name of its task's own and then renamed, so a task that runs twice does no harm, and what
+    exists under the name is replaced. With text.remaining() before it, only what is missing is made.
+    """
+    ship(files.sparkSession)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = opened(folder)
+        system.create_dir(top, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                own = f"{top}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(own) as out:
+                    out.write(content.as_buffer())
+                system.move(own, f"{top}/{name.as_py()}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("path", "content").mapInArrow(one, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
