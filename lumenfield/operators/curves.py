@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenfield.functions import photometry
+from lumenfield.functions import geometry, photometry
 
 
 def time_grid(spark, start: str, stop: str, step: str) -> DataFrame:
@@ -43,6 +43,12 @@ def wide(curve: DataFrame, pids: list[int]) -> DataFrame:
     return curve.where(F.col("pid").isin(pids)).groupBy("i").pivot("pid", pids).agg(F.first("v"))
 
 
+def _met(pixels: DataFrame, vectors: DataFrame, names: tuple[str, ...], steps: int, most: int) -> DataFrame:
+    each = pixels.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    told = vectors.select("i", *names)
+    return each.join(F.broadcast(told) if steps <= most else told, "i")
+
+
 def light(horizons: DataFrame, vectors: DataFrame, steps: int, most: int = 1 << 20) -> DataFrame:
     """pid, i, v: the share of the disc that each pixel sees at each step.
 
@@ -50,9 +56,7 @@ def light(horizons: DataFrame, vectors: DataFrame, steps: int, most: int = 1 <<
     pixel's own row is exploded into steps, which meet the vectors by step; those are broadcast up to
     ``most`` steps and shuffled beyond. Horizons are read in place, so they aren't multiplied in an exchange.
     """
-    each = horizons.select("pid", "horizon", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
-    told = vectors.select("i", "az", "el")
-    met = each.join(F.broadcast(told) if steps <= most else told, "i")
+    met = _met(horizons.select("pid", "horizon"), vectors, ("az", "el"), steps, most)
     return met.select("pid", "i", photometry.disc_fraction(F.col("horizon"), F.col("az"), F.col("el")).alias("v"))
 
 
@@ -69,3 +73,29 @@ def stations(seen: DataFrame, mask: float) -> DataFrame:
     ok = F.col("mask") >= mask
     rank = F.struct((~ok).alias("bad"), F.when(ok, -F.col("el")).alias("low"), F.col("station").alias("station"))
     return seen.groupBy("t").agg(F.min_by(F.struct("station", "el", ok.alias("suitable")), rank).alias("best")).select("t", "best.*")
+
+
+def body_angles(lat: Column, lon: Column, height_m: Column, body: tuple[Column, Column, Column]) -> tuple[Column, Column]:
+    """Azimuth from 0 to 360 and elevation, in degrees, of a body-fixed point in kilometres, seen from a surface point."""
+    az, el = geometry.az_el(*geometry.local_frame(*body, geometry.body_point(lat, lon, height_m), lat, lon))
+    return F.degrees(az), F.degrees(el)
+
+
+def seen(pixels: DataFrame, vectors: DataFrame, steps: int, most: int = 1 << 20) -> DataFrame:
+    """pid, i, az, el, over, v: where a body stands for each pixel at each step, in degrees, how far over its horizon, and the share of its disc.
+
+    ``pixels`` needs pid, lat and lon in radians, h in metres and horizon (1440 elevations in degrees), ``vectors`` i (0 to
+    steps - 1) and x, y, z in body-fixed kilometres, of the sun or a station; they meet as in light(). A null
+    in a pixel or a vector makes what depends on it null; a repeated pid or i gives repeated rows.
+    """
+    met = _met(pixels.select("pid", "lat", "lon", "h", "horizon"), vectors, ("x", "y", "z"), steps, most)
+    az, el = body_angles(F.col("lat"), F.col("lon"), F.col("h"), (F.col("x"), F.col("y"), F.col("z")))
+    met = met.select("pid", "i", "horizon", az.alias("az"), el.alias("el"))
+    over = photometry.over_horizon(F.col("horizon"), F.radians("az"), F.col("el"))
+    return met.select("pid", "i", "az", "el", over.alias("over"), photometry.disc_fraction(F.col("horizon"), F.col("az"), F.col("el")).alias("v"))
+
+
+def shadows(seen: DataFrame) -> DataFrame:
+    """seen() with ``sun``, the byte of a snapshot in sunlight, and ``station``, the class of one of a station: whole degrees over the horizon, rounded up, 0 below it."""
+    station = F.when(F.col("over") <= 0, 0).otherwise(F.ceil("over")).cast("int")
+    return seen.withColumns({"sun": photometry.byte_level(F.col("v")), "station": station})

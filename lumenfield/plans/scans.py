@@ -1,4 +1,4 @@
-"""Queries of havens by minimum and interval, and of files that are written and read again."""
+"""Queries of havens by minimum and interval, of bodies over horizons, and of files that are written and read again."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenfield.operators import havens, runs
+from lumenfield.functions import geometry as geo
+from lumenfield.operators import curves, havens, runs
 from lumenfield.plans.queries import _OTHER, query
-from lumenfield.plans.stand_ins import CURVE, GRID, RUNS, SIDE, curve, grid, lit
+from lumenfield.plans.stand_ins import CURVE, GRID, RUNS, SIDE, curve, grid, lit, table
 from lumenfield.session import shared_dir
 from lumenfield.sources import codecs, dem
 
@@ -100,3 +101,25 @@ def cache_round_trip(spark, sf):
     records = grid(spark, sf).select(F.col("sample").alias("x"), F.col("line").alias("y"), F.floor("h").cast("float").alias("depth"), ((F.col("line") % 4) * 0.5).cast("float").alias("stdev"), F.col("h").alias("nx"), (-F.col("h")).alias("ny"), F.lit(1.0).alias("nz"), light.alias("lighting"))
     out = codecs.decoded(codecs.cache_files(records, 16), "cache")
     return out.select("x", "y", F.col("depth").cast("double").alias("depth"), F.col("stdev").cast("double").alias("stdev"), "nx", "ny", "nz", F.get("lighting", F.lit(0)).cast("double").alias("first_light"), F.size("lighting").alias("lights"))
+
+
+_SEEN = 24
+_HOR = "((pid * 7 + ({0}) * 13) % 97) / 97e0 * 2e0"
+
+
+@query(f"""with p as (select s_suppkey as pid, (s_suppkey % 50 + 1) * 0.001e0 - pi() / 2 as lat, (s_suppkey % 31) * 0.2e0 - 3e0 as lon, (s_suppkey % 7) * 100e0 as h from supplier),
+v as (select cast(range as int) as i, 300000e0 * cos(range * 0.3e0) as x, 300000e0 * sin(range * 0.3e0) as y, 4000e0 - range * 500e0 as z from range({_SEEN})),
+d as (select pid, i, lat, lon, x - (h / 1000 + 1737.4e0) * cos(lat) * cos(lon) as dx, y - (h / 1000 + 1737.4e0) * cos(lat) * sin(lon) as dy, z - (h / 1000 + 1737.4e0) * sin(lat) as dz from p cross join v),
+f as (select pid, i, (dx * cos(lon) + dy * sin(lon)) * sin(lat) - dz * cos(lat) as fx, dy * cos(lon) - dx * sin(lon) as fy, (dx * cos(lon) + dy * sin(lon)) * cos(lat) + dz * sin(lat) as fz from d),
+a as (select pid, i, atan2(fy, fx) + pi() as az, degrees(atan2(fz, sqrt(fx * fx + fy * fy))) as el from f), b as (select *, az * 1439 / (2 * pi()) as k, cast(floor(az * 1439 / (2 * pi())) as int) as n from a),
+o as (select *, el - ({_HOR.format("n")} + (k - n) * ({_HOR.format("(n + 1) % 1440")} - {_HOR.format("n")})) as ov from b)
+select pid, i, round(degrees(az), 6) as az, round(el, 6) + 0e0 as el, round(ov, 6) + 0e0 as over, cast(case when ov <= 0 then 0 else ceil(ov) end as int) as station from o""")
+def bodies_over_horizons(spark, sf):
+    k = F.col("s_suppkey")
+    bins = F.sequence(F.lit(0), F.lit(geo.BINS - 1))
+    place = table(spark, sf, "supplier").select(k.alias("pid"), ((k % 50 + 1) * 0.001 - np.pi / 2).alias("lat"), ((k % 31) * 0.2 - 3.0).alias("lon"), ((k % 7) * 100.0).alias("h"))
+    pixels = place.withColumn("horizon", F.transform(bins, lambda b: F.pmod(F.col("pid") * 7 + b * 13, F.lit(97)).cast("double") / 97 * 2))
+    i = F.col("id")
+    body = spark.range(_SEEN).select(i.cast("int").alias("i"), (300000.0 * F.cos(i * 0.3)).alias("x"), (300000.0 * F.sin(i * 0.3)).alias("y"), (4000.0 - i * 500.0).alias("z"))
+    out = curves.shadows(curves.seen(pixels, body, _SEEN))
+    return out.select("pid", "i", F.round("az", 6).alias("az"), *[(F.round(x, 6) + 0.0).alias(x) for x in ("el", "over")], "station")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfield.operators import havens
+from lumenfield.operators import curves, havens
 from lumenfield.sources import codecs, dem
 
 
@@ -121,3 +121,22 @@ def test_files_written_and_read(spark, tmp_path):
     back = codecs.read(spark, str(tmp_path / "cache"), "cache").drop("path")
     assert sorted(map(tuple, back.collect())) == sorted(records[:3])
     assert codecs.write(codecs.cache_files(cache.limit(0)), folder) == 0
+
+
+def test_bodies_and_shadows(spark):
+    """On flat horizons a body's disc is whole well over them and none well below, and light() agrees at the same angles."""
+    flat = F.array_repeat(F.lit(0.0), 1440)
+    pixels = spark.createDataFrame([(1, -1.5, 0.3, 100.0), (2, -1.55, -2.0, 0.0), (3, None, 0.0, 0.0)], "pid int, lat double, lon double, h double").withColumn("horizon", flat)
+    vectors = spark.createDataFrame([(0, 1e6, 2e5, -4e5), (1, 1e6, 2e5, 4e5), (2, -1e6, 0.0, -9e4)], "i int, x double, y double, z double")
+    out = curves.shadows(curves.seen(pixels, vectors, 3))
+    rows = {(r["pid"], r["i"]): r for r in out.collect()}
+    assert len(rows) == 9 and all(rows[3, k]["el"] is None for k in range(3))
+    for (pid, k), r in rows.items():
+        if pid < 3:
+            assert r["over"] == pytest.approx(r["el"]) and r["station"] == max(0, int(np.ceil(r["el"]))) and 0 <= r["az"] <= 360
+            assert r["sun"] == (255 if r["el"] > 1 else 0) or abs(r["el"]) <= 1
+    assert rows[1, 0]["sun"] == 255 and rows[1, 1]["sun"] == 0
+    for pid in (1, 2):
+        at = spark.createDataFrame([(k, rows[pid, k]["az"], rows[pid, k]["el"]) for k in range(3)], "i int, az double, el double")
+        assert {r["i"]: r["v"] for r in curves.light(pixels.where(f"pid = {pid}"), at, 3).collect()} == {k: rows[pid, k]["v"] for k in range(3)}
+    assert curves.seen(pixels.limit(0), vectors, 3).count() == 0
