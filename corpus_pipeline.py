@@ -22,7 +22,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts at a 5-word Jaccard similarity of 0.8 or more stays: that of the smallest doc_id; rows of a null one count like others."""
+    """One row of each group of texts at a 5-word Jaccard similarity of 0.8 or more stays: that of the smallest doc_id; rows of a null one count like others.
+
+    SimHash fingerprints in a covering code give the pairs, which are verified; an exact way finds the links that fingerprints leave.
+    """
     return similar.firsts(docs).select(*COLUMNS)
 
 
@@ -37,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(packing.tokenized(docs))
 
 
-STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("best-fit packing", pack)]
+STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("best-fit packing", pack)]
 
 #: The classifier, fingerprints and tokenizer have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -230,7 +230,7 @@ def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     Repeated rows are pieces of their own; an empty table has no pieces. ``path`` is a tokenizers file.
     """
     c.small_batches(docs.sparkSession, TEXTS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(path or tokenizer_path(), capacity, end), PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(c.trimmed(_pieces(path or tokenizer_path(), capacity, end)), PIECE)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:

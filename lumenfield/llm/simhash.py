@@ -28,23 +28,32 @@ SEED = 42
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """SimHash of the XXH64 hashes of word shingles; 0 without words."""
+def hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 hashes of word shingles, repeats included; none without words."""
     ws = (text or "").encode().lower().split()  # ASCII white space and A-Z only, as the bytes say
     if not ws:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(ws)
     ends = np.cumsum([len(w) + 1 for w in ws])
     k = min(words, len(ws))
     starts = np.append(0, ends[:-1])[: len(ws) - k + 1].tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([h(joined[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of hashes: the bits that over half of them have."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int) -> int:
+    """SimHash of the hashes of word shingles; 0 without words."""
+    return majority(hashes(text, words))
+
+
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,8 +107,9 @@ def block_plan(blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _replicas(n: int, bits: int, blocks: int, step: int = 1 << 15):
+def _replicas(n: int, bits: int, blocks: int):
     near = bits // blocks
+    step = max(1 << 6, 1 << 18 >> 3 * near)  # a fingerprint has some eight times the replicas with each bit more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -215,6 +225,14 @@ def chosen_blocks(n: int) -> int:
     return 3 if n < 10**8 else 2
 
 
+def linked(prints: DataFrame, total: int, bits: int, blocks: int | None = None) -> DataFrame:
+    """a, b: forests that connect, of the total distinct longs fp of ``prints``, what differs in ``bits`` bits at most."""
+    n = c.partitions(prints.sparkSession)
+    # Few bytes mean many replicas, so tasks are set here rather than merged by size.
+    homes = prints.select("fp").repartition(n, "fp").mapInArrow(c.trimmed(_replicas(n, bits, blocks or chosen_blocks(total))), c.PACKED)
+    return c.exchanged(homes, n).mapInArrow(_compare(bits), "a long, b long")
+
+
 def near_groups(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int | None = None) -> DataFrame:
     """Fingerprints and near-duplicate components.
 
@@ -227,13 +245,10 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4, blocks: int | No
     """
     spark = docs.sparkSession
     c.small_batches(spark)
-    n = c.partitions(spark)
     prints = c.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(words), "doc_id long, fp long"))
     classes = c.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     total = classes.count()
-    # Few bytes mean many replicas, so tasks are set here rather than merged by size.
-    homes = classes.select("fp").repartition(n, "fp").mapInArrow(_replicas(n, bits, blocks or chosen_blocks(total)), c.PACKED)
-    roots = components(c.exchanged(homes, n).mapInArrow(_compare(bits), "a long, b long"))
+    roots = components(linked(classes, total, bits, blocks))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     label = c.joined(rooted, named, "root", total).select("fp", "component_id", F.col("rows").alias("n"))

@@ -1,9 +1,13 @@
 """Groups of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, none missed.
 
-Shingles are put in one order, rare ones first. Two sets that are similar enough share one of the first
+Pairs come from SimHash fingerprints of the shingles by the anchors of ``simhash``, at a wider distance than a
+link of fingerprints has there, and are verified on whole sets. Texts that are similar may have fingerprints farther apart
+than any covering reaches, so an exact way follows for the links that are left, among texts that are not connected yet.
+
+For it shingles are put in one order, rare ones first. Two sets that are similar enough share one of the first
 n - ceil(0.8 n) + 1 shingles of each, so only these prefixes meet, by shingle; how rare a shingle is comes
 from counts by hash, which decide about the number of candidates and never about the result. First each text of
-a shingle's group is verified against the group's first text, on whole sets. Then come rounds: in each group, members of
+a shingle's group is verified against the group's first text. Then come rounds: in each group, members of
 different components are compared by size, by place and by parities, which bound how far two sets are apart; of
 the pairs that may be similar a group sends a forest, never all of them; these are verified, and those that
 fail are not proposed again. It ends when no group has a pair left that may join two components.
@@ -17,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lumenfield.llm import common as c
@@ -27,6 +30,8 @@ U = np.uint64
 WORDS = 5
 #: Least similarity, as a fraction.
 SHARE = (4, 5)
+#: Bits in which fingerprints of candidates may differ, and the blocks of their covering code: the most that a threshold of two bits a block allows.
+BITS, BLOCKS = 8, 3
 #: Bits of the hashes that shingles are counted by.
 COUNTED = 20
 #: Bits of a shingle's hash that prefixes meet by; sets are compared by all 64.
@@ -41,14 +46,8 @@ CELL = 4096
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Distinct XXH64 hashes of word shingles, in order; a text without words has one, zero."""
-    ws = (text or "").encode().lower().split()  # as in simhash.fingerprint
-    if not ws:
-        return np.zeros(1, np.uint64)
-    joined = b" ".join(ws)
-    ends = np.cumsum([len(w) + 1 for w in ws])
-    k = min(words, len(ws))
-    starts = np.append(0, ends[:-1])[: len(ws) - k + 1].tolist()
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a : b - 1], simhash.SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64))
+    h = simhash.hashes(text, words)
+    return np.unique(h) if len(h) else np.zeros(1, np.uint64)
 
 
 def _place(h: np.ndarray) -> np.ndarray:
@@ -152,11 +151,18 @@ def _odd(s: np.ndarray, classes: int) -> bytes:
     return np.packbits(np.bincount((s & U(classes - 1)).astype(np.int64), minlength=classes).astype(np.uint8) & 1).tobytes()
 
 
-def _parities(words: int):
+def _traits(words: int):
+    """Fingerprint, parities and size of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_odd(s, PARITIES) for s in sets], pa.binary()), pa.array([_odd(s, MORE) if len(s) > WIDE else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())], names=["t", "odd", "more", "n"])
+            prints, sets = [], []
+            for t in b.column(1).to_pylist():
+                h = simhash.hashes(t, words)
+                prints.append(simhash.majority(h))
+                sets.append(np.unique(h) if len(h) else np.zeros(1, np.uint64))
+            fp = pa.array(np.array(prints, np.uint64).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, pa.array([_odd(s, PARITIES) for s in sets], pa.binary()), pa.array([_odd(s, MORE) if len(s) > WIDE else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())], names=["t", "fp", "odd", "more", "n"])
 
     return run
 
@@ -317,6 +323,18 @@ def _in_cells(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition(n, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "n")
 
 
+def near_prints(traits: DataFrame) -> DataFrame:
+    """a, b: pairs of texts t whose fingerprints fp differ in BITS bits at most, in forests that connect what such pairs connect."""
+    prints = c.stored(traits.groupBy("fp").agg(F.min("t").alias("first")))
+    first = lambda fp, t: prints.select(F.col("fp").alias(fp), F.col("first").alias(t))
+    links = c.stored(simhash.linked(prints, prints.count(), BITS, BLOCKS).distinct())
+    across = links.withColumnsRenamed({"a": "p", "b": "q"}).join(first("p", "a"), "p").join(first("q", "b"), "q").select("a", "b")
+    alike = traits.select("t", "fp").join(prints, "fp").where("t <> first").select(F.col("t").alias("a"), F.col("first").alias("b"))
+    out = c.stored(across.unionAll(alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    c.free(prints, links)
+    return out
+
+
 def similar(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """node, root for the texts that are similar to another one: root is the least t that a text reaches.
 
@@ -329,12 +347,12 @@ def similar(texts: DataFrame, words: int = WORDS) -> DataFrame:
     n = c.partitions(spark)
     texts = texts.select("t", F.col("text").cast("string").alias("text"))
 
+    odd = c.stored(texts.mapInArrow(c.trimmed(_traits(words)), "t long, fp long, odd binary, more binary, n int").dropDuplicates(["t"]))
     rank = np.zeros((c.SLICES, (1 << COUNTED) // c.SLICES), np.uint8)
-    for k, payload in c.slices(texts.mapInArrow(_counts(words), c.PACKED), _rank):
+    for k, payload in c.slices(texts.mapInArrow(c.trimmed(_counts(words)), c.PACKED), _rank):
         rank[k] = c.unpack(payload)["r"]
     shared = spark.sparkContext.broadcast(pickle.dumps(rank.tobytes()))
-    members = c.stored(c.exchanged(texts.mapInArrow(_prefixes(n, words, shared), c.PACKED), n).mapInArrow(c.by_bucket(_members), MEMBER))
-    odd = c.stored(texts.mapInArrow(_parities(words), "t long, odd binary, more binary, n int").dropDuplicates(["t"]))
+    members = c.stored(c.exchanged(texts.mapInArrow(c.trimmed(_prefixes(n, words, shared)), c.PACKED), n).mapInArrow(c.by_bucket(_members), MEMBER))
 
     def of(df: DataFrame, key: str) -> DataFrame:
         return df.select(*[F.col(x).alias(key if x == "t" else f"{key}_{x}") for x in df.columns])
@@ -344,17 +362,29 @@ def similar(texts: DataFrame, words: int = WORDS) -> DataFrame:
         some = c.stored(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("t")))
         held, log2 = c.filter_of(some)
         kept = spark.sparkContext.broadcast(held)
-        sets = c.stored(texts.mapInArrow(_sets(words, kept, log2), "t long, grams binary").dropDuplicates(["t"]).join(some, "t", "left_semi"))
+        sets = c.stored(texts.mapInArrow(c.trimmed(_sets(words, kept, log2)), "t long, grams binary").dropDuplicates(["t"]).join(some, "t", "left_semi"))
         both = pairs.join(of(sets, "a"), "a").join(of(sets, "b"), "b").select("a", "b", "a_grams", "b_grams")
-        out = c.stored(both.mapInArrow(_verified, "a long, b long, yes boolean"))
+        out = c.stored(both.mapInArrow(c.trimmed(_verified), "a long, b long, yes boolean"))
         c.free(some, sets)
         return out
 
-    lead = members.where("lead is not null").select(F.greatest("t", "lead").alias("a"), F.least("t", "lead").alias("b")).distinct()
-    lead = lead.join(of(odd, "a"), "a").join(of(odd, "b"), "b").select("a", "b", "a_n", "b_n", "a_odd", "b_odd", "a_more", "b_more")
-    lead = c.stored(lead.mapInArrow(_possible, "a long, b long"))
-    told = verified(lead)
-    c.free(lead)
+    def sieved(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(of(odd, "a"), "a").join(of(odd, "b"), "b").select("a", "b", "a_n", "b_n", "a_odd", "b_odd", "a_more", "b_more")
+        return c.stored(both.mapInArrow(_possible, "a long, b long"))
+
+    near = near_prints(odd)
+    may = sieved(near)
+    told = verified(may)
+    c.free(near, may)
+
+    root = c.stored(simhash.components(told.where("yes").select("a", "b")))
+    lead = members.where("lead is not null").select(F.greatest("t", "lead").alias("a"), F.least("t", "lead").alias("b")).distinct().join(told, ["a", "b"], "left_anti")
+    for x in "ab":
+        lead = lead.join(root.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
+    may = sieved(lead.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b"))
+    more = verified(may)
+    told, before = c.stored(told.unionAll(more)), told
+    c.free(before, more, may, root)
     while True:
         rooted = members.join(simhash.components(told.where("yes").select("a", "b")), F.col("t") == F.col("node"), "left").select("g", "t", "n", "at", F.coalesce("root", "t").alias("root"))
         rooted = c.stored(rooted)
@@ -362,11 +392,11 @@ def similar(texts: DataFrame, words: int = WORDS) -> DataFrame:
         own = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
         cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, own).alias("lo"), F.greatest(k, own).alias("hi"))))
         dealt = c.joined(rooted.withColumnRenamed("n", "size"), parts, "g", rooted.count()).select("g", "t", F.col("size").alias("n"), "at", "root", cells.alias("cell")).select("g", "cell.lo", "cell.hi", "t", "n", "at", "root")
-        open_ = c.stored(_in_cells(dealt, n).mapInArrow(_by_cells(_open), "g long, lo int, hi int, t long, n int, at int, root long"))
+        open_ = c.stored(_in_cells(dealt, n).mapInArrow(c.trimmed(_by_cells(_open)), "g long, lo int, hi int, t long, n int, at int, root long"))
         failed = told.where("not yes")
         failed = failed.select(F.col("a").alias("t"), F.col("b").alias("o")).union(failed.select(F.col("b").alias("t"), F.col("a").alias("o"))).groupBy("t").agg(F.collect_set("o").alias("failed"))
-        rows = open_.join(odd.drop("n"), "t").join(failed, "t", "left").select("g", "lo", "hi", "t", "n", "at", "root", "odd", "more", "failed")
-        pairs = c.stored(_in_cells(rows, n).mapInArrow(_by_cells(_proposed, 1 << 13), "a long, b long").distinct())
+        rows = open_.join(odd.drop("n", "fp"), "t").join(failed, "t", "left").select("g", "lo", "hi", "t", "n", "at", "root", "odd", "more", "failed")
+        pairs = c.stored(_in_cells(rows, n).mapInArrow(c.trimmed(_by_cells(_proposed, 1 << 13)), "a long, b long").distinct())
         c.free(rooted, open_)
         if pairs.isEmpty():
             c.free(pairs)

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from lumenfield.llm import similar
+from lumenfield.llm import similar, simhash
 
 
 def copies(seed: int = 7) -> list[tuple]:
@@ -76,3 +76,51 @@ def test_pairs_are_those_that_sizes_and_places_allow():
     got = [tuple(sorted(p)) for i, j in similar._pairs(table, 97) for p in zip(i.tolist(), j.tolist(), strict=True)]
     want = {(i, j) for i, j in combinations(range(300), 2) if cell[i] == cell[j] and root[i] != root[j] and 5 * n[i] >= 4 * n[j] and min(n[i] - at[i], n[j] - at[j]) >= similar.need(n[i], n[j])}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_fingerprints_give_the_first_links(spark, monkeypatch):
+    """Without the exact way: the links are the similar pairs whose five-word SimHash fingerprints are near, by all pairs."""
+
+    def no_prefixes(n, words, shared):
+        def run(batches):
+            for _ in batches:
+                yield from ()
+
+        return run
+
+    r, rows = random.Random(5), []
+    for k in range(80):  # one copy each, so that what is near is similar
+        base = [f"w{r.randrange(5000)}" for _ in range(200)]
+        near = list(base)
+        for i in r.sample(range(200), 1 + k % 4):
+            near[i] = f"v{r.randrange(5000)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    sets, prints = {d: set(similar.shingles(t).tolist()) for d, t in rows}, {d: simhash.fingerprint(t, 5) for d, t in rows}
+    near = {(x, y) for x, y in combinations(sorted(sets), 2) if (prints[x] ^ prints[y]).bit_count() <= similar.BITS}
+    like = {(x, y) for x, y in combinations(sorted(sets), 2) if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])}
+    far = [p for p in near if (prints[p[0]] ^ prints[p[1]]).bit_count() > 4]
+    assert near < like and far  # so that any forest of near pairs has the same groups, some of them wider than a link of op2
+    texts = spark.createDataFrame(rows, "t long, text string").repartition(3)
+    full = {r["node"]: r["root"] for r in similar.similar(texts).collect()}
+    monkeypatch.setattr(similar, "_prefixes", no_prefixes)
+    some = {r["node"]: r["root"] for r in similar.similar(texts).collect()}
+    for got, pairs in ((some, near), (full, like)):
+        a, b = simhash.forest(*(np.array(x) for x in zip(*pairs, strict=True)))
+        want = dict(zip(a.tolist(), b.tolist(), strict=True))
+        assert {n: r for n, r in got.items() if n != r} == want
+    assert "SimHash near-dedup" in [n for n, _ in corpus_pipeline.STAGES]
+
+
+def test_wide_links_in_three_blocks(spark):
+    """Fingerprints eight bits apart, two or three of them in each block, as their covering has to join them."""
+    r = random.Random(3)
+    prints = [r.getrandbits(64) for _ in range(300)]
+    for x in prints[:150]:
+        for k in (8, 9):
+            prints.append(x ^ sum(1 << i for i in r.sample(range(64), k)))
+    prints = list(dict.fromkeys(prints))
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    got = simhash.linked(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3), len(prints), similar.BITS, similar.BLOCKS).collect()
+    want = [(x, y) for x, y in combinations(signed, 2) if ((x ^ y) & ((1 << 64) - 1)).bit_count() <= similar.BITS]
+    roots = lambda pairs: sorted(zip(*(x.tolist() for x in simhash.forest(*(np.array(x) for x in zip(*pairs, strict=True)))), strict=True))
+    assert len(want) >= 150 and roots(want) == roots({(r["a"], r["b"]) for r in got})
