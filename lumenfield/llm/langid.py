@@ -8,8 +8,9 @@ n-grams), corrected for the hits that the filter's fill alone would give, and th
 
 from __future__ import annotations
 
+import itertools
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,8 @@ SLOTS_LOG2, PROBES = 21, 2
 #: An n-gram belongs to each language whose training texts have it this often.
 LEAST = 2
 UNKNOWN = "und"
+#: Bytes whose n-grams are made at once; n-grams that a task counts before it sends them on.
+STEP, HELD = 1 << 19, 1 << 21
 
 _NORMAL = np.full(256, 32, np.uint8)
 _NORMAL[97:123] = np.arange(97, 123)
@@ -57,6 +60,13 @@ def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(off, at, "right") - 1, g[at]
 
 
+def steps(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """grams() of all texts, each once, some STEP bytes at a time: one text may be longer than memory has room for its n-grams."""
+    for a in range(0, max(len(buf) - GRAM + 1, 0), STEP):
+        b = min(a + STEP + GRAM - 1, len(buf))
+        yield grams(buf[a:b], np.clip(off, a, b) - a)
+
+
 def slots(g: np.ndarray) -> list[np.ndarray]:
     h = bx.mixed(g.astype(np.uint64) + U(1))
     return [((h >> U(64 - SLOTS_LOG2 * (k + 1))) & U((1 << SLOTS_LOG2) - 1)).astype(np.int64) for k in range(PROBES)]
@@ -74,17 +84,18 @@ class Filters:
     def count(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams of each text, corrected hits of each text and language)."""
         n = len(off) - 1
-        row, g = grams(buf, off)
-        total = np.bincount(row, minlength=n)
+        total = np.zeros(n, np.int64)
         hits = np.zeros((n, len(self.languages)))
-        at = slots(g)
-        for w in range(self.table.shape[1]):
-            word = self.table[:, w]
-            mask = word[at[0]]
-            for i in at[1:]:
-                mask = mask & word[i]
-            for k in range(64 * w, min(64 * (w + 1), len(self.languages))):
-                hits[:, k] = np.bincount(row, (mask >> mask.dtype.type(k - 64 * w)) & mask.dtype.type(1), n)
+        for row, g in steps(buf, off):
+            total += np.bincount(row, minlength=n)
+            at = slots(g)
+            for w in range(self.table.shape[1]):
+                word = self.table[:, w]
+                mask = word[at[0]]
+                for i in at[1:]:
+                    mask = mask & word[i]
+                for k in range(64 * w, min(64 * (w + 1), len(self.languages))):
+                    hits[:, k] += np.bincount(row, (mask >> mask.dtype.type(k - 64 * w)) & mask.dtype.type(1), n)
         rate = self.false[None, :]
         return total, np.maximum(0, (hits - total[:, None] * rate) / (1 - rate))
 
@@ -126,24 +137,47 @@ def filters(held: dict[str, list[np.ndarray]], sizes: dict[str, int]) -> Filters
     return Filters(languages, table, np.minimum(fill**PROBES, 0.99), max(languages, key=lambda x: (sizes[x], x), default=UNKNOWN))
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        langs = np.array(b.column(0).to_pylist(), object)
-        for lang in sorted(set(langs)):
-            part = b.column(1).take(pa.array(np.flatnonzero(langs == lang)))
-            for _, buf, off in bx.chunks(*bx.flat(part), 1 << 22):
-                g, n = np.unique(grams(buf, off)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+def summed(parts: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of parts, in order, and the sum of each one's counts."""
+    g, at = np.unique(np.concatenate([x["g"] for x in parts]), return_inverse=True)
+    n = np.zeros(len(g), np.int64)
+    np.add.at(n, at, np.concatenate([x["n"] for x in parts]))
+    return g, n
 
 
-def _packed_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrays of n-grams by language: a row for each language of a task."""
-    held: dict[str, list[np.ndarray]] = {}
-    for b in batches:
-        langs, g = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(zero_copy_only=False)
-        for x in set(langs):
-            held.setdefault(x, []).append(g[langs == x])
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([c.pack(g=np.concatenate(x)) for x in held.values()], pa.binary())], names=["lang", "payload"])
+def _gram_counts(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of n-grams by (number of the language, text), packed by bucket and language."""
+
+    def sent(held: dict[int, list[dict[str, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for k, parts in sorted(held.items()):
+            g, many = summed(parts)
+            yield from c.packed_rows((b, k, c.pack(g=g[i], n=many[i])) for b, i in c.split_by(c.bucket_of(g, n), n))
+        held.clear()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for b in batches:
+            kinds = b.column(0).to_numpy(zero_copy_only=False)
+            for k in np.unique(kinds).tolist():
+                part = b.column(1).take(pa.array(np.flatnonzero(kinds == k)))
+                for _, g in steps(*bx.flat(part)):
+                    g, many = np.unique(g, return_counts=True)
+                    held.setdefault(k, []).append({"g": g, "n": many})
+                    size += len(g)
+                    if size > HELD:
+                        yield from sent(held)
+                        size = 0
+        yield from sent(held)
+
+    return run
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams that a language has often enough, packed as they came."""
+    rows = (r for x in batches for r in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True))
+    for (bucket, k), group in itertools.groupby(rows, key=lambda r: r[:2]):
+        g, n = summed([c.unpack(p) for _, _, p in group])
+        yield from c.packed_rows([(bucket, k, c.pack(g=g[n >= LEAST]))])
 
 
 def learn(docs: DataFrame, texts: int = TEXTS) -> Filters:
@@ -153,13 +187,14 @@ def learn(docs: DataFrame, texts: int = TEXTS) -> Filters:
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return build([], {})
-    share = docs.sparkSession.createDataFrame([(k, min(1.0, texts / n)) for k, n in sizes.items()], "lang string, share double")
+    languages = sorted(sizes)
+    share = docs.sparkSession.createDataFrame([(x, k, min(1.0, texts / sizes[x])) for k, x in enumerate(languages)], "lang string, kind int, share double")
     # A row for each language is broadcast.
-    pick = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("lang", "text")
-    counts = pick.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    pick = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("kind", "text")
+    n = min(c.partitions(docs.sparkSession), c.SLICES)
     held: dict[str, list[np.ndarray]] = {}
-    for r in counts.select("lang", "gram").mapInArrow(_packed_grams, "lang string, payload binary").collect():  # the sample's n-grams, eight bytes each at most
-        held.setdefault(r[0], []).append(c.unpack(bytes(r[1]))["g"].astype(np.uint64))
+    for r in c.exchanged(pick.mapInArrow(c.trimmed(_gram_counts(n)), c.PACKED), n).mapInArrow(c.trimmed(_frequent), c.PACKED).collect():  # the sample's n-grams, eight bytes each at most
+        held.setdefault(languages[r["kind"]], []).append(c.unpack(bytes(r["payload"]))["g"])
     return filters(held, sizes)
 
 
@@ -184,7 +219,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(filters))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields) + "lang_pred string, score double"
-    return docs.mapInArrow(_predictions(shared), schema)
+    return docs.mapInArrow(c.trimmed(_predictions(shared)), schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
