@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids, and the sequence and offset that each has."""
-    return packing.packed(packing.tokenized(docs))
+    return packing.packed(packing.tokenized(docs, numbered=True))
 
 
 STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("best-fit packing", pack)]

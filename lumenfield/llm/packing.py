@@ -29,13 +29,17 @@ END = 0
 #: Rows of (length, task) that are broadcast at most, of some 100 bytes each.
 BEGINS = 200_000
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
+#: A task's number, and a piece's among those of its length in the task.
+PART, N = "__part", "__n"
+NUMBERS = f", {PART} int, {N} long"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 #: Words, and parts of words, in each generation of what a worker remembers; bytes of the longest one it remembers.
 HELD, LONG = 400_000, 48
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Texts encoded at once.
-TEXTS = 512
+#: Texts encoded at once, and about the characters of them; longer texts are cut before white space.
+TEXTS, CHARS = 512, 1 << 20
+_WHITE = re.compile("[\t-\r ]")
 #: Parts encoded at once.
 JOINED = 500
 _PART = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^0-9a-z\x80-\xff]+")
@@ -51,6 +55,27 @@ def _plain(word: str) -> bool:
     return len(low) == len(word) and unicodedata.is_normalized("NFC", word) and all(x.isalpha() for x in word + low if x > "\x7f")
 
 
+def parts(text: str) -> Iterator[str]:
+    """The text, cut before ASCII white space into parts of about CHARS characters: the tokenizer drops it and never joins across it."""
+    at = 0
+    while len(text) - at > CHARS and (m := _WHITE.search(text, at + CHARS)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def groups(texts: list[str], rows: int) -> Iterator[slice]:
+    """Runs of texts of rows at most, and of about CHARS characters; a longer text stands alone."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if i > first and (i - first == rows or size + len(t) > CHARS):
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(t)
+    if texts:
+        yield slice(first, len(texts))
+
+
 class Memory:
     """A bounded dict: when the young generation is full it becomes the old one, and what is used moves up again."""
 
@@ -138,6 +163,15 @@ class Words:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        cut = [(i, part) for i, t in enumerate(texts) for part in parts(t)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for some in groups([part for _, part in cut], len(cut)):
+            for (i, _), ids in zip(cut[some], self.each([part for _, part in cut[some]]), strict=True):
+                out[i].append(ids)
+        return [b"".join(x) for x in out]
+
+    def each(self, texts: list[str]) -> list[bytes]:
+        """As ids(), of all texts at once."""
         whole, fine, coarse = [], [], []
         for i, t in enumerate(texts):
             # What a special token may be in, or is not in the normal form NFC, is encoded as a whole.
@@ -196,22 +230,28 @@ def _kinds(part: np.ndarray) -> np.ndarray:
 _words: dict[str, Words] = {}
 
 
-def _pieces(path: str, capacity: int, end: int):
+def _pieces(path: str, capacity: int, end: int, numbered: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words.get(path) or Words(path)
         _words[path] = words
         last = np.array([end], "<u4").tobytes()
+        part, met = TaskContext.get().partitionId() if numbered else 0, Counter()
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), TEXTS):
+            for some in groups(texts, TEXTS):
                 out = ([], [], [], [], [])
-                for doc, ids in zip(docs[i : i + TEXTS], words.ids(texts[i : i + TEXTS]), strict=True):
+                for doc, ids in zip(docs[some], words.ids(texts[some]), strict=True):
                     ids += last
                     for k, at in enumerate(range(0, len(ids) // 4, capacity)):
-                        part = ids[4 * at : 4 * (at + capacity)]
-                        for col, x in zip(out, (doc, k, at, len(part) // 4, part), strict=True):
+                        piece = ids[4 * at : 4 * (at + capacity)]
+                        for col, x in zip(out, (doc, k, at, len(piece) // 4, piece), strict=True):
                             col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _PIECE.types, strict=True)], schema=_PIECE)
+                cols = [pa.array(x, t) for x, t in zip(out, _PIECE.types, strict=True)]
+                if not numbered:
+                    yield pa.RecordBatch.from_arrays(cols, schema=_PIECE)
+                    continue
+                n = _numbers(np.array(out[3], np.int64), met)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(n), part, np.int32)), pa.array(n)], names=[*_PIECE.names, PART, N])
 
     return run
 
@@ -222,15 +262,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, numbered: bool = False) -> DataFrame:
     """Pieces of capacity tokens at most: doc_id, piece, start, length, ids (little-endian unsigned 32-bit).
 
     ``docs`` needs doc_id and text; other columns are ignored. Each text's ids are followed by ``end``; null
     counts as empty, so it is one piece of that id alone. Only texts with more ids than capacity are cut.
     Repeated rows are pieces of their own; an empty table has no pieces. ``path`` is a tokenizers file.
+    With ``numbered`` two more columns spare packed() a pass through Python; no row may be dropped, repeated or moved before it.
     """
     c.small_batches(docs.sparkSession, TEXTS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(c.trimmed(_pieces(path or tokenizer_path(), capacity, end)), PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        c.trimmed(_pieces(path or tokenizer_path(), capacity, end, numbered)), PIECE + NUMBERS * numbered
+    )
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -303,20 +346,25 @@ def _places(table: list[tuple[int, list[tuple[int, int]]]], names: list[str]):
     return run
 
 
+def _numbers(length: np.ndarray, met: Counter) -> np.ndarray:
+    """Each one's number among those of its length, after the ones met before."""
+    order = np.argsort(length, kind="stable")
+    sizes, first, each = np.unique(length[order], return_index=True, return_counts=True)
+    n = np.empty(len(length), np.int64)
+    n[order] = np.arange(len(length)) - np.repeat(first - np.array([met[x] for x in sizes.tolist()], np.int64), each)
+    met.update(dict(zip(sizes.tolist(), each.tolist(), strict=True)))
+    return n
+
+
 def _numbered(names: list[str]):
     """The rows with the task's number, and each one's number among those of its length in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, met = TaskContext.get().partitionId(), Counter()
         for b in batches:
-            length = b.column(b.schema.get_field_index("length")).to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(length, kind="stable")
-            sizes, first, each = np.unique(length[order], return_index=True, return_counts=True)
-            n = np.empty(len(length), np.int64)
-            n[order] = np.arange(len(length)) - np.repeat(first - np.array([met[x] for x in sizes.tolist()], np.int64), each)
-            met.update(dict(zip(sizes.tolist(), each.tolist(), strict=True)))
+            n = _numbers(b.column(b.schema.get_field_index("length")).to_numpy(zero_copy_only=False).astype(np.int64), met)
             cols = [b.column(b.schema.get_field_index(x)) for x in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(n), part, np.int32)), pa.array(n)], names=[*names, "__part", "__n"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(n), part, np.int32)), pa.array(n)], names=[*names, PART, N])
 
     return run
 
@@ -329,8 +377,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, most: int = BEGINS) -> D
     Numbers of tasks are broadcast up to ``most`` rows, which changes no result.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    names, schema = pieces.columns, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pieces.schema.fields)
-    numbered = c.stored(pieces.mapInArrow(_numbered(names), schema + "__part int, __n long"))
+    fields = [f for f in pieces.schema.fields if f.name not in (PART, N)]
+    names, schema = [f.name for f in fields], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    numbered = c.stored(pieces if {PART, N} <= set(pieces.columns) else pieces.select(*names).mapInArrow(_numbered(names), schema + NUMBERS))
     sizes = c.stored(numbered.groupBy("length", "__part").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     before = F.sum("n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
@@ -338,9 +387,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, most: int = BEGINS) -> D
     # A row for each length in each task; beyond ``most`` of them both sides are shuffled by length and task.
     begin = F.broadcast(begin) if begin.count() <= most else begin.hint("merge")
     ranked = numbered.join(begin, ["length", "__part"]).select(*names, (F.col("__begin") + F.col("__n")).alias("__rank"))
-    return ranked.mapInArrow(_places(combinations(counts, capacity), names), schema + "sequence_id long, offset long")
+    return ranked.mapInArrow(_places(combinations(counts, capacity), names), schema + ", sequence_id long, offset long")
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    pieces = tokenized(c.table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = tokenized(c.table(spark, sf_dir, "documents"), numbered=True).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packed(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -1,11 +1,13 @@
 """What a task holds is bounded by steps, not by its longest text or its rows."""
 
+import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
-from lumenfield.llm import bytesx, langid
+import corpus_pipeline
+from lumenfield.llm import bytesx, langid, packing
 from lumenfield.llm import common as c
 
 
@@ -56,3 +58,44 @@ def test_counts_of_grams_do_not_depend_on_steps(monkeypatch):
             for r in b.to_pylist():
                 got.setdefault(r["kind"], []).extend(c.unpack(r["payload"])["g"].tolist())
         assert {k: sorted(x) for k, x in got.items()} == want
+
+
+def test_ids_of_a_long_text_in_parts():
+    words = np.random.default_rng(1).choice([b"alpha ", b"beta, ", b"gamma ", "délta ".encode(), b"x.\n"], 1_500_000)
+    text = b"".join(words.tolist()).decode()
+    w = packing.Words(packing.tokenizer_path())
+    w.ids(["alpha beta"])
+    assert most_mb(lambda: w.ids([text])) < 200  # 8 MB of text, 10 of ids
+
+
+def test_cuts_of_a_text_change_no_id(monkeypatch):
+    r = random.Random(4)
+    letters = ["a", "B", "é", "É", "'", "'s", "!", "1", "½", " ", "\n", "\t", "\x1c", "\x85", "　", "<|endoftext|>", "<|", "İ", "Σ", "漢", "̀", "\0"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(2000)] + ["", "x" * 30]
+    w = packing.Words(packing.tokenizer_path())
+    want = [np.array(e.ids, "<u4").tobytes() for e in w.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for chars in (1, 5, 17):
+        monkeypatch.setattr(packing, "CHARS", chars)
+        assert all("".join(packing.parts(t)) == t for t in texts)
+        assert sum(len(list(packing.parts(t))) > 2 for t in texts) > 100
+        assert w.ids(texts) == want
+
+
+def test_pieces_pass_through_python_once(spark, monkeypatch):
+    """One Python worker for each core while texts are tokenized, as each remembers words; rows have their numbers as before."""
+    plans, rows = [], []
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df)
+
+    kept = c.stored
+    monkeypatch.setattr(c, "stored", stored)
+    for query in (lambda: packing.op6_best_fit_packing(spark, "/root/testdata/sf0.001"), lambda: corpus_pipeline.pack(spark, c.table(spark, "/root/testdata/sf0.001", "documents"), "")):
+        plans.clear()
+        out = query()
+        assert plans[0].count("MapInArrow") == 1
+        assert not {"__part", "__n"} & set(out.columns)
+        rows.append(sorted(out.select("doc_id", "piece", "start", "length", "sequence_id", "offset").collect()))
+    docs = c.table(spark, "/root/testdata/sf0.001", "documents")
+    assert rows[0] == rows[1] == sorted(packing.packed(packing.tokenized(docs)).select("doc_id", "piece", "start", "length", "sequence_id", "offset").collect())
